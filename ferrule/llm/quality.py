@@ -6,8 +6,8 @@ of its form (shares of punctuation, capitals, repeated words, digits ...). One w
 grades, gives a score s; ordered thresholds t1 < t2 cut it: P(grade >= k) = sigmoid(s - tk). From these follow the
 expected grade and the tail probability P(grade >= 2), by which documents are selected.
 
-The fit uses at most ``sample_docs`` labelled documents, chosen by a hash of their ids; features seen in fewer than
-MIN_DOCS of them have no weight. Every whole text is scored.
+The fit uses at most ``sample_docs`` labelled documents, chosen by a hash of their ids; words seen in fewer than
+MIN_DOCS of them, or with no grade whose chi-square with the word reaches ASSOCIATION, have no weight. Every whole text is scored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.common import LOWER, SPACE, hash_spans, text_buffer, text_slices
 
-BUCKETS, SAMPLE_DOCS, MIN_DOCS, STEPS, PENALTY, GRADES = 1 << 18, 6000, 6, 250, 2e-4, 3
+BUCKETS, SAMPLE_DOCS, MIN_DOCS, STEPS, PENALTY, GRADES = 1 << 18, 12_000, 3, 250, 5e-4, 3
+#: Chi-square of a word with a grade, below which the word is taken for noise.
+ASSOCIATION = 20.0
 KEEP_AT = 0.5
 
 _WORD = np.zeros(256, bool)
@@ -98,10 +100,16 @@ class Ordinal:
     def fit(self, idx: np.ndarray, off: np.ndarray, grade: np.ndarray, steps: int = STEPS) -> None:
         n = len(grade)
         seen = np.bincount(idx, minlength=BUCKETS)
-        known = np.flatnonzero((seen >= MIN_DOCS) | ((np.arange(BUCKETS) < 1024) & (seen > 0)))
+        doc = np.repeat(np.arange(n), np.diff(off))
+        chi = np.zeros(BUCKETS)
+        for k in range(len(self.gaps) + 1):
+            own = (grade == k).astype(float)
+            p = own.mean()
+            spread = seen * p * (1 - p) * (1 - seen / n)
+            chi = np.maximum(chi, (np.bincount(idx, weights=own[doc], minlength=BUCKETS) - seen * p) ** 2 / np.maximum(spread, 1e-9) * (spread > 0))
+        known = np.flatnonzero(((seen >= MIN_DOCS) & (chi >= ASSOCIATION)) | ((np.arange(BUCKETS) < 1024) & (seen > 0)))
         place = np.full(BUCKETS, -1)
         place[known] = np.arange(len(known))
-        doc = np.repeat(np.arange(n), np.diff(off))
         use = place[idx] >= 0
         col, doc = place[idx][use], doc[use]
         share = np.bincount(grade, minlength=len(self.gaps) + 2) / n
