@@ -208,17 +208,18 @@ class Mix:
                     order = np.random.default_rng([seed, shard, 1]).permutation(len(j))  # sources interleave
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), shard)), pa.array(np.arange(len(j))), pa.array(src[order].astype(np.int32)), pa.array(block[order]), pa.array(epoch[order].astype(np.int32))], names=["shard", "slot", "source_index", "block", "epoch"])
 
+        # the planner's size of this table is that of the range: joins with it carry a hint, lest it be broadcast
         n = max(1, min(partitions(self.spark), shards))
         return self.spark.range(0, shards, 1, n).mapInArrow(run, "shard long, slot long, source_index int, block long, epoch int")
 
     def drawn(self) -> DataFrame:
         """Pieces with the slots that read them: blocks joined by index."""
-        return self.pieces().join(self.slots(), ["source_index", "block"])
+        return self.pieces().join(self.slots().hint("merge"), ["source_index", "block"])
 
     def taken(self) -> DataFrame:
         """One row a document: doc_id, size, source_size, target, taken."""
         uses = self.slots().groupBy("source_index", "block").agg(F.count("*").alias("times"))
-        joined = self.pieces().join(uses, ["source_index", "block"], "left")
+        joined = self.pieces().join(uses.hint("merge"), ["source_index", "block"], "left")
         by = ["doc_id", "source_index", "start", "size", "source_size", "target"]
         whole = joined.where("size > 0").groupBy(*by).agg(F.sum(F.col("n") * F.coalesce("times", F.lit(0))).cast("long").alias("taken")).drop("start")
         empty = self.documents().where("size = 0").select(*[c for c in by if c != "start"], F.lit(0).cast("long").alias("taken"))
@@ -230,7 +231,7 @@ class Mix:
         rounds = self.drawn().groupBy("doc_id", "epoch", "size").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("cut"))
         cut = rounds.select("doc_id", F.when(F.aggregate("cut", F.lit(0).cast("long"), lambda a, x: a + x["n"]) < F.col("size"), F.col("cut")).alias("cut"))
         columns = docs.columns
-        joined = docs.join(cut.withColumnRenamed("doc_id", "__id").withColumnRenamed("cut", "__cut"), docs[id_col] == F.col("__id")).drop("__id")
+        joined = docs.join(cut.withColumnRenamed("doc_id", "__id").withColumnRenamed("cut", "__cut").hint("merge"), docs[id_col] == F.col("__id")).drop("__id")
         split = F.filter(F.split(F.col(text_col), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
         drawn_words = F.flatten(F.transform("__cut", lambda c: F.slice("__words", (c["word"] + 1).cast("int"), c["n"].cast("int"))))
         part = joined.withColumn("__words", F.when(F.col("__cut").isNotNull(), split))
