@@ -127,7 +127,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(path, pattern, leaf_chars)
         for batch in batches:
-            for part in text_slices(batch, limit=8 << 20):
+            for part in text_slices(batch, limit=1 << 20):
                 n, first, second, kept = [], [], [], []
                 for text in part.column(1).to_pylist():
                     ids = codec.encode(text or "")
