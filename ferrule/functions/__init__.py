@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -36,9 +38,6 @@ def desc(c: str | Column) -> Column:
 
 def register_functions(spark: SparkSession) -> None:
     """A session hook: ``net_price(price, discount)`` (scalar) and ``geo_mean(x)`` (aggregate) for SQL text."""
-    import numpy as np
-    import pandas as pd
-
     def net_price(price: pd.Series, discount: pd.Series) -> pd.Series:
         return price * (1 - discount)
 

@@ -52,7 +52,8 @@ def exchanges(df: DataFrame) -> list[Exchange]:
 
 
 def plan_text(df: DataFrame) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The physical plan; of one that has run, the final form alone."""
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
 def node_names(df: DataFrame) -> list[str]:

@@ -19,7 +19,7 @@ def join_with(left: DataFrame, right: DataFrame, on, how: str = "inner", strateg
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
