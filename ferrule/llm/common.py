@@ -126,10 +126,10 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     """A 64-bit hash of each span, its length included."""
     n = ends - starts
     h = n.astype(np.uint64) * _Q
-    order = np.argsort(-n, kind="stable")
+    order = np.argsort((LONG_WORD + 1 - np.minimum(n, LONG_WORD + 1)).astype(np.uint8), kind="stable")  # longest first
     s, by = starts[order], n[order]
     acc = h[order]
-    far = int(np.searchsorted(-by, -LONG_WORD, side="left"))  # spans longer than LONG_WORD come first
+    far = int(np.count_nonzero(n > LONG_WORD))
     for k in range(far):
         acc[k] = xxhash.xxh3_64_intdigest(raw[s[k] : s[k] + by[k]].tobytes())
     size = np.bincount(np.minimum(by[far:], LONG_WORD), minlength=LONG_WORD + 2)

@@ -17,6 +17,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,10 @@ ROWS_PER_TASK = 8192
 END = 2
 #: Words that one worker remembers (about 200 bytes each).
 CACHE_WORDS = 600_000
+#: a-z; and ASCII punctuation other than an apostrophe.
+LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[97:123] = True
+MARK[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = True
 
 
 def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, bits: int | None = None) -> bytes:
@@ -50,7 +55,7 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, bits: int |
         packed[: len(p)] = p
         ones = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)
         out += [struct.pack("<Q", int(zero.sum())), packed.tobytes(), (np.cumsum(ones, dtype=np.uint32) - ones).astype("<u4").tobytes()]
-        x = np.concatenate([x[zero], x[one]])
+        x = np.concatenate([np.compress(zero, x), np.compress(one, x)])
     return b"".join(out)
 
 
@@ -130,8 +135,8 @@ class Shard:
         for k in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self._planes[k], count=self.n, bitorder="little").astype(bool)
             y = np.empty_like(x)
-            y[~one] = x[: self._zeros[k]]
-            y[one] = x[self._zeros[k] :] | x.dtype.type(1 << (self.bits - 1 - k))
+            y[np.flatnonzero(~one)] = x[: self._zeros[k]]
+            y[np.flatnonzero(one)] = x[self._zeros[k] :] | x.dtype.type(1 << (self.bits - 1 - k))
             x = y
         return x
 
@@ -139,52 +144,60 @@ class Shard:
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space, each distinct word encoded once.
 
-    Texts are cut at ASCII white space, and before a comma or full stop that follows an ASCII letter; A-Z are
-    lower-cased. No piece of this tokenizer's pattern spans such a cut and its normaliser composes nothing across
-    it, so the ids of the parts in a row are those of the text.
+    Texts are cut at ASCII white space, and between an ASCII letter and ASCII punctuation other than an apostrophe;
+    A-Z are lower-cased. No piece of this tokenizer's pattern spans such a cut and its normaliser composes nothing
+    across it, so the ids of the parts in a row are those of the text. A word of a-z alone is one piece which the
+    normaliser leaves as it is, so only the model sees it.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self._tok = Tokenizer.from_file(path)
+        self._tok, self._bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._bare.normalizer, self._bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         vocab = self._tok.get_vocab()
         self._ends = np.zeros(max(vocab.values()) + 1, bool)
         self._ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
+        """Entry 0 is END; entry k has the ids ``_arena[_start[k]:][:_len[k]]``."""
         self._known: dict[int, int] = {}
-        self._start, self._len, self._arena = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
-        self._used = 0
+        self._start, self._len, self._arena = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
+        self._len[0], self._arena[0], self._used = 1, END, 1
 
     def _learn(self, hashes: list[int], words: list[str]) -> None:
-        found: list = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if w.isalpha()]
-        for a in range(0, len(plain), 512):
-            part = plain[a : a + 512]
-            ids = np.array(self._tok.encode_batch_fast([" ".join(words[i] for i in part)], add_special_tokens=False)[0].ids, np.int64)
-            cut = np.flatnonzero(self._ends[ids]) + 1
-            if len(cut) == len(part) and cut[-1] == len(ids):  # one piece a word
-                for i, x in zip(part, np.split(ids, cut[:-1]), strict=True):
-                    found[i] = x
-        rest = [i for i, x in enumerate(found) if x is None]
+        order, flat, sizes, rest = [], [], [], []
+        alpha = [i for i, w in enumerate(words) if w.isalpha()]
+        for tok, todo in ((self._bare, [i for i in alpha if words[i].isascii()]), (self._tok, [i for i in alpha if not words[i].isascii()])):
+            for a in range(0, len(todo), 256):
+                part = todo[a : a + 256]
+                ids = np.array(tok.encode_batch_fast([" ".join([words[i] for i in part])], add_special_tokens=False)[0].ids, np.uint32)
+                cut = np.flatnonzero(self._ends[ids])
+                if len(cut) == len(part) and cut[-1] == len(ids) - 1:  # one piece a word
+                    order += part
+                    flat.append(ids)
+                    sizes.append(np.diff(cut, prepend=-1))
+                else:
+                    rest += part
+        rest += [i for i, w in enumerate(words) if not w.isalpha()]
         for i, e in zip(rest, self._tok.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
-            found[i] = e.ids
-        sizes = np.array([len(x) for x in found], np.int64)
-        flat = np.concatenate([np.asarray(x, np.uint32) for x in found]) if len(found) else np.zeros(0, np.uint32)
-        n = len(self._known)
-        while n + len(words) > len(self._start):
+            order.append(i)
+            flat.append(np.array(e.ids, np.uint32))
+            sizes.append(np.array([len(flat[-1])]))
+        ids, size = np.concatenate(flat), np.concatenate(sizes)
+        n, end = len(self._known) + 1, len(self._known) + 1 + len(words)
+        while end > len(self._start):
             self._start, self._len = np.resize(self._start, 2 * len(self._start)), np.resize(self._len, 2 * len(self._len))
-        while self._used + len(flat) > len(self._arena):
+        while self._used + len(ids) > len(self._arena):
             self._arena = np.resize(self._arena, 2 * len(self._arena))
-        self._start[n : n + len(words)] = self._used + np.cumsum(sizes) - sizes
-        self._len[n : n + len(words)] = sizes
-        self._arena[self._used : self._used + len(flat)] = flat
-        self._used += len(flat)
-        self._known.update(zip(hashes, range(n, n + len(words)), strict=True))
+        self._start[n:end] = self._used + np.cumsum(size) - size
+        self._len[n:end] = size
+        self._arena[self._used : self._used + len(ids)] = ids
+        self._used += len(ids)
+        self._known.update(zip([hashes[i] for i in order], range(n, end), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, END after each, and the number of each."""
@@ -192,11 +205,12 @@ class WordEncoder:
         raw = LOWER[raw]
         starts, ends, before = word_spans(raw, off)
         if len(raw) > 1:
-            first = np.zeros(len(raw), bool)
-            first[starts] = True
-            letter = (raw >= 97) & (raw <= 122)
-            cut = np.flatnonzero(((raw[1:] == 44) | (raw[1:] == 46)) & letter[:-1] & ~first[1:]) + 1
-            starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+            first, last = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
+            first[starts], last[ends - 1] = True, True
+            cut = LETTER[raw[:-1]] & MARK[raw[1:]] & ~first[1:]
+            first[1:] |= cut
+            last[:-1] |= cut
+            starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
             before = np.searchsorted(starts, off)
         which, distinct = pd.factorize(hash_spans(raw, starts, ends))
         at = np.zeros(len(distinct), np.int64)
@@ -204,29 +218,27 @@ class WordEncoder:
             if len(self._known) + len(distinct) > CACHE_WORDS:
                 self._clear()
             keys = distinct.tolist()
-            new = [i for i, k in enumerate(keys) if k not in self._known]
-            if new:
-                seen = np.full(len(distinct), -1, np.int64)
-                seen[which[::-1]] = np.arange(len(which))[::-1]
-                data = raw.tobytes()
-                self._learn([keys[i] for i in new], [data[starts[j] : ends[j]].decode() for j in seen[new]])
-            at = np.array([self._known[k] for k in keys], np.int64)
+            look = lambda ks: np.fromiter(map(self._known.get, ks, repeat(-1)), np.int64, len(ks))
+            at = look(keys)
+            if len(new := np.flatnonzero(at < 0)):
+                seen = np.zeros(len(distinct), np.int64)
+                seen[which] = np.arange(len(which))
+                data, fresh = raw.tobytes(), [keys[i] for i in new]
+                spans = zip(starts[seen[new]].tolist(), ends[seen[new]].tolist(), strict=True)
+                self._learn(fresh, [data[a:b].decode() for a, b in spans])
+                at[new] = look(fresh)
         docs = len(off) - 1
-        word = np.full(len(which) + docs, -1, np.int64)
         stops = before[1:] + np.arange(docs)
+        word = np.zeros(len(which) + docs, np.int64)  # entry 0, END, after each text
         own = np.ones(len(word), bool)
         own[stops] = False
         word[own] = at[which]
-        size = np.where(own, self._len[word], 1)
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = np.full(total[-1], END, np.uint32)
-        sizes, froms = size[own], self._start[word[own]]
-        src = np.repeat(froms - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        inside = np.ones(total[-1], bool)
-        inside[total[:-1][stops]] = False
-        ids[inside] = self._arena[src]
-        edges = np.concatenate([[0], total[1:][stops]])
-        return ids, np.diff(edges)
+        size = self._len[word]
+        total = np.cumsum(size, dtype=np.int64)
+        step = (self._start[word] - (total - size)).astype(np.int32)
+        src = np.repeat(step, size)
+        src += np.arange(len(src), dtype=np.int32)
+        return self._arena[src], np.diff(total[stops], prepend=0)
 
 
 @lru_cache(maxsize=2)

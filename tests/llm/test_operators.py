@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -113,6 +114,28 @@ def test_wavelet_matrix(ids):
         s.select(99, 0)
 
 
+def test_word_encoder_equals_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(queries.WORDS)
+    tok, enc = Tokenizer.from_file(path), token_file.WordEncoder(path)
+    tok.encode_special_tokens = True
+    glue = st.sampled_from([" ", "\n", "'", "'s", "'ll", ".", ",", "$$$", "<", "=\u0338", "\u0301", "-", "<|endoftext|>", "_", "~", "a", "Word", "don", "é", "İ", "ß", "7", "½", "中", "🙂", "\x1c", "\xa0", "\u200d"])
+
+    @settings(max_examples=600, deadline=None)
+    @given(st.lists(st.lists(st.one_of(glue, st.text(max_size=4), st.text("abcST.,'! é", max_size=8)), max_size=30).map("".join), max_size=4))
+    def check(texts):
+        ids, sizes = enc.encode(pa.array(texts, pa.string()))
+        assert len(sizes) == len(texts)
+        at = 0
+        for t, n in zip(texts, sizes, strict=True):
+            assert ids[at : at + n].tolist() == tok.encode(t, add_special_tokens=False).ids + [token_file.END], t
+            at += n
+        assert at == len(ids)
+
+    check()
+
+
 def test_token_files(spark, edges, empty):
     from tokenizers import Tokenizer
 
