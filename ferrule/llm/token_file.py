@@ -249,26 +249,27 @@ def _encoder(path: str) -> WordEncoder:
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Encodes whole texts (null: empty), END after each, and writes shards in ascending order of ids.
 
-    Rows (task, part, n_tokens, n_docs, data): by (task, part) the shards are in order; a shard ends with a
-    document, at ``shard_tokens`` ids or soon after. Rows of one id follow each other in the order of their texts.
+    Rows (task, part, ahead, n_tokens, n_docs, data): by (task, part) the shards are in order; ``ahead`` is the ids of
+    the task's earlier shards; a shard ends with a document, at ``shard_tokens`` ids or soon after. Rows of one id
+    follow each other in the order of their texts.
     """
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
     n = max(partitions(spark), min(20_000, own.count() // rows_per_task))
     dealt = own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    schema = pa.schema([("task", pa.int32()), ("part", pa.int32()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("data", pa.binary())])
+    schema = pa.schema([("task", pa.int32()), ("part", pa.int32()), ("ahead", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task, part = _encoder(path), TaskContext.get().partitionId(), 0
+        enc, task, part, ahead = _encoder(path), TaskContext.get().partitionId(), 0, 0
         held: list = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal part
+            nonlocal part, ahead
             ids = np.concatenate([h[0] for h in held])
             doc_ids, sizes = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-            row = pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([part], pa.int32()), pa.array([len(ids)]), pa.array([len(doc_ids)]), pa.array([build(ids, doc_ids, sizes)], pa.binary())], schema=schema)
+            row = pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([part], pa.int32()), pa.array([ahead]), pa.array([len(ids)]), pa.array([len(doc_ids)]), pa.array([build(ids, doc_ids, sizes)], pa.binary())], schema=schema)
             held.clear()
-            part += 1
+            part, ahead = part + 1, ahead + len(ids)
             return row
 
         for batch in batches:
@@ -280,18 +281,18 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         if held:
             yield flush()
 
-    return stored(dealt.mapInArrow(run, "task int, part int, n_tokens long, n_docs long, data binary"), "shards")
+    return stored(dealt.mapInArrow(run, "task int, part int, ahead long, n_tokens long, n_docs long, data binary"), "shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """Documents of the shards as read back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     spark = shards.sparkSession
-    sizes = shards.select("task", "part", "n_tokens").orderBy("task", "part").collect()  # one small row a file
-    start, starts = 0, []
-    for r in sizes:
-        starts.append((r["task"], r["part"], start))
-        start += r["n_tokens"]
-    offsets = spark.createDataFrame(starts, "task int, part int, start long")
+    sums = shards.groupBy("task").agg(F.sum("n_tokens").alias("n")).orderBy("task").collect()  # one row a task that wrote
+    base, bases = 0, []
+    for r in sums:
+        bases.append((r["task"], base))
+        base += r["n"]
+    offsets = spark.createDataFrame(bases, "task int, base long")
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,8 +304,8 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(ends - n, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids), pa.array(first.as_py() + ends - n), pa.array(n), pa.array(crc, pa.int64())], schema=schema)
 
-    joined = shards.select("task", "part", "data").join(F.broadcast(offsets), ["task", "part"])  # one small row a file
-    return joined.select("start", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    joined = shards.select("task", "ahead", "data").join(F.broadcast(offsets), "task")  # one row a task that wrote
+    return joined.select((F.col("base") + F.col("ahead")).alias("start"), "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, path: str, **options) -> DataFrame:
