@@ -36,9 +36,13 @@ def _orders(t: Catalog) -> DataFrame:
     return t.orders.withColumns({"o_orderdate": day("o_orderdate"), "o_totalprice": money("o_totalprice")})
 
 
-def _partsupp(t: Catalog) -> DataFrame:
-    """Stand-in for the missing table: one row per part and supplier seen in line items."""
-    return t.lineitem.groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).agg(
+def _partsupp(t: Catalog, parts: DataFrame | None = None) -> DataFrame:
+    """Stand-in for the missing table: one row per part and supplier seen in line items.
+
+    With ``parts``, only theirs; the part is a grouping key, so line items of others go before the shuffle.
+    """
+    lines = t.lineitem if parts is None else t.lineitem.join(parts.select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    return lines.groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).agg(
         F.sum(F.col("l_linenumber").cast("bigint")).alias("ps_availqty"),
         F.min(money("l_extendedprice")).alias("ps_supplycost"),
     )
@@ -72,10 +76,11 @@ def q1(spark: SparkSession, d: str) -> DataFrame:
 def q2(spark: SparkSession, d: str) -> DataFrame:
     t = Catalog(spark, d)
     near = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region.where("r_name = 'EUROPE'"), F.col("n_regionkey") == F.col("r_regionkey"))
-    offers = _partsupp(t).join(near, F.col("ps_suppkey") == F.col("s_suppkey"))
+    wanted = t.part.where("p_size = 15")  # the subquery is correlated by part, so it needs no other parts
+    offers = _partsupp(t, wanted).join(near, F.col("ps_suppkey") == F.col("s_suppkey"))
     cheapest = offers.groupBy(F.col("ps_partkey").alias("k")).agg(F.min("ps_supplycost").alias("least"))
     return (
-        offers.join(t.part.where("p_size = 15"), F.col("ps_partkey") == F.col("p_partkey"))
+        offers.join(wanted, F.col("ps_partkey") == F.col("p_partkey"))
         .join(cheapest, (F.col("ps_partkey") == F.col("k")) & (F.col("ps_supplycost") == F.col("least")))
         .select(money("s_acctbal").alias("s_acctbal"), "s_name", "n_name", "p_partkey")
         .orderBy(desc("s_acctbal"), asc("n_name"), asc("s_name"), asc("p_partkey"))
@@ -160,9 +165,10 @@ def q8(spark: SparkSession, d: str) -> DataFrame:
 
 def q9(spark: SparkSession, d: str) -> DataFrame:
     t = Catalog(spark, d)
+    wanted = t.part.where("p_name LIKE '%gear%'")
     return (
-        _lineitem(t).join(t.part.where("p_name LIKE '%gear%'"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(_partsupp(t), (F.col("l_partkey") == F.col("ps_partkey")) & (F.col("l_suppkey") == F.col("ps_suppkey")))
+        _lineitem(t).join(wanted, F.col("l_partkey") == F.col("p_partkey"))
+        .join(_partsupp(t, wanted), (F.col("l_partkey") == F.col("ps_partkey")) & (F.col("l_suppkey") == F.col("ps_suppkey")))
         .join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(_orders(t), F.col("l_orderkey") == F.col("o_orderkey"))
         .withColumn("amount", (_net() - F.col("ps_supplycost") * F.col("l_quantity")).cast(SUM4))
@@ -233,14 +239,14 @@ def q15(spark: SparkSession, d: str) -> DataFrame:
 
 def q16(spark: SparkSession, d: str) -> DataFrame:
     t = Catalog(spark, d)
+    wanted = t.part.where("p_brand <> 'Brand#4' AND p_type NOT LIKE 'MED%' AND p_size IN (49, 14, 23, 45, 19, 3, 36, 9)")
     return spark.sql("""
         SELECT p.p_brand, p.p_type, p.p_size, COUNT(DISTINCT ps.ps_suppkey) AS supplier_cnt
         FROM {ps} AS ps JOIN {part} AS p ON p.p_partkey = ps.ps_partkey
-        WHERE p.p_brand <> 'Brand#4' AND p.p_type NOT LIKE 'MED%' AND p.p_size IN (49, 14, 23, 45, 19, 3, 36, 9)
-          AND ps.ps_suppkey NOT IN (SELECT s.s_suppkey FROM {supplier} AS s WHERE s.s_acctbal < 0)
+        WHERE ps.ps_suppkey NOT IN (SELECT s.s_suppkey FROM {supplier} AS s WHERE s.s_acctbal < 0)
         GROUP BY p.p_brand, p.p_type, p.p_size
         ORDER BY supplier_cnt DESC NULLS FIRST, p.p_brand NULLS LAST, p.p_type NULLS LAST, p.p_size NULLS LAST
-    """, ps=_partsupp(t), part=t.part, supplier=t.supplier)
+    """, ps=_partsupp(t, wanted), part=wanted, supplier=t.supplier)
 
 
 def q17(spark: SparkSession, d: str) -> DataFrame:
@@ -277,12 +283,14 @@ def q19(spark: SparkSession, d: str) -> DataFrame:
 
 def q20(spark: SparkSession, d: str) -> DataFrame:
     t = Catalog(spark, d)
+    wanted = t.part.where("p_name LIKE 'cold%'")  # "used" is correlated by part, so it needs no other parts
     used = (
         _lineitem(t).where(F.year("l_shipdate") == 1997)
+        .join(wanted, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
         .groupBy(F.col("l_partkey").alias("up"), F.col("l_suppkey").alias("us")).agg((0.5 * F.sum("l_quantity").cast("double")).alias("half"))
     )
     stocked = (
-        _partsupp(t).join(t.part.where("p_name LIKE 'cold%'"), F.col("ps_partkey") == F.col("p_partkey"), "left_semi")
+        _partsupp(t, wanted)
         .join(used, (F.col("ps_partkey") == F.col("up")) & (F.col("ps_suppkey") == F.col("us")) & (F.col("ps_availqty").cast("double") > F.col("half")), "left_semi")
     )
     return t.supplier.join(stocked, F.col("s_suppkey") == F.col("ps_suppkey"), "left_semi").join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_name", "n_name").orderBy(asc("s_name"))
