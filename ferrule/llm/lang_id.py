@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import SPACE, text_buffer, text_slices
+from ferrule.llm.common import SPACE, text_buffer, text_slices, tidy
 
 SEGMENT, HIDDEN, STEPS, BATCH, RATE, SEED = 64, 8, 420, 192, 0.02, 11
 DOCS_PER_LANG, SEGMENTS_PER_DOC = 400, 4
@@ -219,7 +219,7 @@ def predict(docs: DataFrame, net: ByteGru | None) -> DataFrame:
                     score = np.where(letters, np.clip(prob[np.arange(n), top], 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(best, pa.string()), pa.array(score)], schema=schema)
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

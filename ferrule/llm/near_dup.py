@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import LOWER, hash_spans, mix, partitions, shingles, stored, text_buffer, text_slices, word_spans
+from ferrule.llm.common import LOWER, hash_spans, mix, partitions, shingles, stored, text_buffer, text_slices, tidy, word_spans
 
 SHINGLE, PERCENT = 5, 75
 DIGITS, BITS, CHUNKS, WIDTH, ERRORS = 64, 16, 16, 4, 1
@@ -134,7 +134,7 @@ def sign(docs: DataFrame) -> DataFrame:
                     lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(m[some].ravel())))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(digests, pa.binary()), *lists], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig array<long>, keys array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, digest binary, sig array<long>, keys array<long>")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -177,9 +177,9 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                         b.append(i.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    sets = joined.mapInArrow(load, "centre long, salt int, kind int, id long, set binary")
+    sets = joined.mapInArrow(tidy(load), "centre long, salt int, kind int, id long, set binary")
     dealt = sets.repartition(partitions(docs.sparkSession), "centre", "salt").sortWithinPartitions("centre", "salt", "kind")
-    return stored(dealt.mapInArrow(meet, "a long, b long").distinct(), "links")
+    return stored(dealt.mapInArrow(tidy(meet), "a long, b long").distinct(), "links")
 
 
 def widen(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def widen(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 ends = np.arange(0, w.size + 1, WIDE // 64, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(w.ravel()))], names=["id", "wide"])
 
-    return joined.mapInArrow(run, "id long, wide array<long>")
+    return joined.mapInArrow(tidy(run), "id long, wide array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import LOWER, hash_spans, partitions, stored, text_buffer, text_slices, word_spans
+from ferrule.llm.common import LOWER, hash_spans, partitions, stored, text_buffer, text_slices, tidy, word_spans
 
 MAGIC, BLOCK = b"WMX1", 512
 SHARD_TOKENS = 2 << 20
@@ -281,7 +281,7 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         if held:
             yield flush()
 
-    return stored(dealt.mapInArrow(run, "task int, part int, ahead long, n_tokens long, n_docs long, data binary"), "shards")
+    return stored(dealt.mapInArrow(tidy(run), "task int, part int, ahead long, n_tokens long, n_docs long, data binary"), "shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -305,7 +305,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids), pa.array(first.as_py() + ends - n), pa.array(n), pa.array(crc, pa.int64())], schema=schema)
 
     joined = shards.select("task", "ahead", "data").join(F.broadcast(offsets), "task")  # one row a task that wrote
-    return joined.select((F.col("base") + F.col("ahead")).alias("start"), "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return joined.select((F.col("base") + F.col("ahead")).alias("start"), "data").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, path: str, **options) -> DataFrame:
