@@ -3,9 +3,10 @@
 A page is read into blocks of text, each with its root-to-leaf path of block elements. For each path the text length
 and the punctuation of its blocks are summed; both, over the number of blocks, are ratios that are high for running
 text and low for menus and notices. The ratios are smoothed over the neighbouring blocks of the page, fused by
-their product, and paths above a threshold (a share of the page's weighted mean) are content. The container that
-holds most of the content (``article`` or ``main`` if they do) gives the article: all its blocks but those in
-elements that never are the article (navigation, forms, scripts, comments, advertisements ...).
+their product, and paths above a threshold (a share of the page's weighted mean) are content, as are those with much
+of the page's sentences. The article is all content, the other blocks of each ``article`` or ``main`` that holds some
+and of the lowest element that holds all the rest, what lies between (but menus), and the headings right before any of
+it; without what is in elements that never are the article (navigation, forms, scripts, comments, advertisements ...).
 """
 
 from __future__ import annotations
@@ -36,7 +37,12 @@ MARKS = frozenset(
 )
 CLOSES_P = BLOCK - {"body", "html", "button", "label", "legend", "option"}
 PUNCTUATION = re.compile("[.,;:!?…、。，！？؟।]")
-SMOOTH, SHARE, HOLDS = 2, 0.35, 0.6
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Never the container of an article by itself.
+PARTS = HEADINGS | frozenset("p pre blockquote figure figcaption caption ul ol dl li dt dd table tbody thead tfoot tr td th details summary".split())
+#: A path with LARGE of the page's text in sentences is content whatever its score; a heading is kept if at most NEAR
+#: blocks that are not lie between it and the next kept one.
+SMOOTH, SHARE, LARGE, NEAR = 2, 0.35, 0.1, 2
 
 
 @dataclass
@@ -152,6 +158,29 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
     return found
 
 
+def _home(node: Node) -> Node | None:
+    """The outermost article around a block, else the outermost main, if any."""
+    article = main = None
+    x: Node | None = node
+    while x is not None:
+        if x.tag == "article":
+            article = x
+        elif x.tag == "main":
+            main = x
+        x = x.parent
+    return article or main
+
+
+def _common(a: Node, b: Node) -> Node:
+    """The lowest element that holds both."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+    return a
+
+
 def extract(page: str | None) -> str:
     """The article's blocks in page order, joined by two line feeds; empty if there is none."""
     found = blocks(page or "")
@@ -180,39 +209,46 @@ def extract(page: str | None) -> str:
     mean = sum(score[p] * length[p] for p in score) / total
     content = {p for p in score if score[p] >= SHARE * mean and link[p] <= 0.5 * length[p]}
 
-    seen: dict[int, Node] = {}
-    weight: Counter = Counter()
-    named: list[Node] = []
-    for node, text, _ in inside:
-        x = node
-        while x is not None:
-            if id(x) not in seen:
-                seen[id(x)] = x
-                if x.tag in ("article", "main"):
-                    named.append(x)
-            if node.label in content:
-                weight[id(x)] += len(text)
-            x = x.parent
-    all_content = sum(len(t) for n, t, _ in inside if n.label in content)
-    if not all_content:
+    every = sum(length[p] - link[p] for p in length)
+    content |= {p for p in length if link[p] <= 0.5 * length[p] and marks[p] and length[p] - link[p] >= LARGE * every}
+    if not content:
         return ""
-    outer = [x for x in named if x.tag == "article" and weight[id(x)]] or [x for x in named if weight[id(x)]]
-    best = max(outer, key=lambda x: (weight[id(x)], -x.depth), default=None)
-    if best is None or weight[id(best)] < 0.2 * all_content:
-        deep = [x for x in seen.values() if weight[id(x)] >= HOLDS * all_content and x.tag not in ("p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6")]
-        best = max(deep, key=lambda x: (x.depth, weight[id(x)]), default=None)
-    within = best.label if best is not None else ""
-    kept = []
+
+    homes: dict[int, Node] = {}
+    lost: Node | None = None  # holds all content outside articles
+    for node, _, _ in inside:
+        if node.label in content:
+            home = _home(node)
+            if home is not None:
+                homes[id(home)] = home
+            else:
+                lost = _common(lost, node) if lost is not None else node
+    while lost is not None and lost.tag in PARTS and lost.parent is not None:
+        lost = lost.parent
+    if lost is not None:
+        homes[id(lost)] = lost
+    within: dict[int, bool] = {}
+    keep = []
     for node, text, k in inside:
-        x = node
-        while x is not None and x is not best:
+        way, x = [], node
+        while x is not None and id(x) not in within and id(x) not in homes:
+            way.append(x)
             x = x.parent
-        if x is None and best is not None:
-            continue
-        if k >= 0.8 * len(text) and link[node.label] > 0.8 * length[node.label] and node.tag in ("li", "td", "div", "ul") and node.label not in content and node.label != within:
-            continue
-        kept.append(text)
-    return "\n\n".join(kept)
+        held = x is not None and (id(x) in homes or within[id(x)])
+        for y in way:
+            within[id(y)] = held
+        menu = k >= 0.8 * len(text) and link[node.label] > 0.8 * length[node.label] and node.tag in ("li", "td", "div", "ul") and id(node) not in homes
+        keep.append(node.label in content or (held and not menu))
+    first, last = keep.index(True), len(keep) - keep[::-1].index(True)
+    for i in range(first, last):
+        label = inside[i][0].label
+        keep[i] = keep[i] or (link[label] <= 0.5 * length[label])
+    gap = NEAR + 1
+    for i in range(len(inside) - 1, -1, -1):
+        if not keep[i] and gap <= NEAR and inside[i][0].tag in HEADINGS:
+            keep[i] = True
+        gap = 0 if keep[i] else gap + 1
+    return "\n\n".join(t for (_, t, _), yes in zip(inside, keep, strict=True) if yes)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

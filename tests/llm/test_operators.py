@@ -320,6 +320,19 @@ def test_html():
     assert html_extract.extract(PAGE[: PAGE.index("<form")] + "<p cla") == "A <title>\n\nFirst, with bold text & more.\n\nSecond line."
 
 
+def test_html_keeps_the_whole_article():
+    part = "Some words of a story, told well. It goes on, and on; so it does. "
+    get = lambda body: html_extract.extract(f"<html><body>{body}</body></html>").replace(part.strip(), "#").replace("# ", "#").split("\n\n")
+    teaser = f"<article><p>{part * 2}</p></article>"
+    assert get(f"<main><p>{part * 6}</p></main>{teaser}") == get(f"<div><p>{part * 6}</p></div>{teaser}") == ["######", "##"]
+    assert get(f"<article><p>{part * 3}</p></article><p>So.</p><article class=b><p>{part}</p></article>") == ["###", "So.", "#"]
+    assert get(f"<div class=post><h1>Title</h1><div class=entry><p>{part * 3}</p><p>{part * 3}</p></div></div>") == ["Title", "###", "###"]
+    assert get(f"<div><p>{part * 3}</p><section><p>{part * 6}</p></section></div>") == ["###", "######"]
+    assert get(f"<div><p>{part * 9}</p><ul><li>one<li>two</ul></div>") == ["#########", "one", "two"]
+    said = [f"He said so, {i}." for i in range(60)]
+    assert get(f"<div>{''.join(f'<p>{x}</p>' for x in said)}</div>{teaser}") == [*said, "##"]
+
+
 def test_pages(spark, small):
     rows = [(1, "http://a/x", PAGE, "t"), (2, None, None, "t"), (2, None, None, "t"), (None, "u", "", "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
