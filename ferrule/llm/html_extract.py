@@ -6,7 +6,8 @@ text and low for menus and notices. The ratios are smoothed over the neighbourin
 their product, and paths above a threshold (a share of the page's weighted mean) are content, as are those with much
 of the page's sentences. The article is all content, the other blocks of each ``article`` or ``main`` that holds some
 and of the lowest element that holds all the rest, what lies between (but menus), and the headings right before any of
-it; without what is in elements that never are the article (navigation, forms, scripts, comments, advertisements ...).
+it; without what is in elements that never are the article (navigation, forms, scripts, comments, advertisements ...). An element that only
+a class or id name marks as such stays if it holds the article or most of the text.
 """
 
 from __future__ import annotations
@@ -31,10 +32,21 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 #: Never part of an article. A header or footer is the page's or the article's own furniture alike.
 FURNITURE = frozenset("nav header footer aside form button select option label fieldset menu dialog search head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form menu menubar toolbar alert".split())
-#: Words of class and id names, split at non-letters, that mark furniture.
+#: A class or id name marks furniture if it is one of these words, or a compound of at least one and of QUALIFIERS only.
 MARKS = frozenset(
     "ad ads adv advert advertisement adverts advertising adbox adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header hidden login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promos promoted promotion recommended related reply replies respond share sharing shares sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+QUALIFIERS = frozenset(
+    "area author bar block body bottom box btn buttons card cards center container count desktop first form global google icon icons inner inline item items last left links list main media mobile module of page panel post posts primary right secondary section side site slot small sticky text thread title top unit wrap wrapper".split()
+)
+#: Never the name of an article's wrapper: its text may outweigh the article's.
+ASIDES = frozenset(
+    "ad ads adv advert advertisement adverts advertising adbox adsense comment comments commentlist consent cookie cookies copyright disclaimer disqus gdpr login newsletter reply replies respond sponsor sponsored".split()
+)
+#: A marked element stays if it holds an article or main with PART of the heaviest one's text; or HALF of the page's
+#: text outside of ASIDES; or, for ASIDES, nearly ALL of the text of a page without article and main.
+PART, HALF, ALL = 0.25, 0.5, 0.9
+NAMED = frozenset(("article", "main"))
 CLOSES_P = BLOCK - {"body", "html", "button", "label", "legend", "option"}
 PUNCTUATION = re.compile("[.,;:!?…、。，！？؟।]")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -52,24 +64,65 @@ class Node:
     parent: "Node | None"
     out: bool
     depth: int = 0
+    marked: int = 0
     weight: float = field(default=0.0)
 
 
 def _furniture(tag: str, attrs: dict[str, str]) -> bool:
     if tag in FURNITURE or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
         return True
-    if "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()
-    return any(w in MARKS for w in re.split(r"[^a-z]+", names))
+    return "display:none" in attrs.get("style", "").replace(" ", "").lower()
+
+
+def _marked(attrs: dict[str, str]) -> int:
+    """1 if a class or id name marks furniture, 2 if it is one of ASIDES, else 0."""
+    found = 0
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if len(w) > 1]
+        if MARKS.intersection(words) and all(w in MARKS or w in QUALIFIERS for w in words):
+            found = max(found, 2 if ASIDES.intersection(words) else 1)
+    return found
+
+
+def _drop_marked(nodes: list[Node], found: list[tuple[Node, str, int]]) -> None:
+    """Sets ``out`` for marked elements, but for those that hold the article, and for all in them."""
+    own: Counter = Counter()
+    for node, text, k in found:
+        if not node.out:
+            own[id(node)] += max(0, len(text) - k)
+    beside: set[int] = set()  # elements in ASIDES
+    for x in nodes:
+        if id(x.parent) in beside or (x.marked == 2 and x.tag not in NAMED):
+            beside.add(id(x))
+    held, plain, named = Counter(own), Counter(), Counter()  # text in it; outside of ASIDES; of the heaviest article in it
+    for x in reversed(nodes):
+        plain[id(x)] += 0 if id(x) in beside else own[id(x)]
+        if x.tag in NAMED and not x.marked and not x.out:
+            named[id(x)] = max(named[id(x)], held[id(x)])
+        if x.parent is not None:
+            up = id(x.parent)
+            held[up] += held[id(x)]
+            plain[up] += plain[id(x)]
+            named[up] = max(named[up], named[id(x)])
+    root = id(nodes[0])
+    whole = not any(x.tag in NAMED and not x.marked and not x.out for x in nodes)
+    for x in nodes:
+        if x.parent is not None and x.parent.out:
+            x.out = True
+        elif x.marked and x.tag not in NAMED and not x.out:
+            if x.marked == 2:
+                large = whole and held[id(x)] >= ALL * held[root]
+            else:
+                large = plain[id(x)] >= HALF * plain[root]
+            article = named[id(x)] > 0 and named[id(x)] >= PART * named[root]
+            x.out = not (held[id(x)] and (article or large))
 
 
 def blocks(page: str) -> list[tuple[Node, str, int]]:
     """(element, raw text, length of link text) of each run of text between block boundaries."""
     root = Node("", "", None, False)
     stack: list[Node] = [root]
+    nodes: list[Node] = [root]
     found: list[tuple[Node, str, int]] = []
     run: list[str] = []
     links = link_depth = at = 0
@@ -136,8 +189,9 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
         if m[3].strip():
             for a in ATTR.finditer(m[3]):
                 attrs.setdefault(a[1].lower(), (a[2] or "").strip("\"'"))
-        marked = bool(attrs) and _furniture(tag, attrs)
-        if tag not in BLOCK and not marked:
+        out = tag in FURNITURE or (bool(attrs) and _furniture(tag, attrs))
+        marked = _marked(attrs) if attrs and tag not in ("html", "body") else 0
+        if tag not in BLOCK and not out and not marked:
             continue
         flush()
         if tag in CLOSES_P and stack[-1].tag == "p":
@@ -153,8 +207,10 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
                     break
         up = stack[-1]
         label = tag + ("." + attrs["class"].split()[0] if attrs.get("class", "").split() else "")
-        stack.append(Node(tag, f"{up.label}/{label}", up, up.out or marked or tag in FURNITURE, up.depth + 1))
+        stack.append(Node(tag, f"{up.label}/{label}", up, up.out or out, up.depth + 1, marked))
+        nodes.append(stack[-1])
     flush()
+    _drop_marked(nodes, found)
     return found
 
 

@@ -333,6 +333,18 @@ def test_html_keeps_the_whole_article():
     assert get(f"<div>{''.join(f'<p>{x}</p>' for x in said)}</div>{teaser}") == [*said, "##"]
 
 
+def test_html_names_do_not_drop_the_article():
+    text = "Some words of a story, told well. It goes on, and on; so it does."
+    for name in ("overflow-hidden", "elementor-widget-container", "content has-sidebar", "no-comments", "with-header", "md:hidden", "widget", "comments"):
+        for tag in ("article", "main", "div"):
+            assert html_extract.extract(f"<div class='{name}'><{tag}><p>{text}</p></{tag}></div>") == text, name
+    assert html_extract.extract(f"<article><p>So.</p></article><div id=sidebar><p>{text}</p></div>") == f"So.\n\n{text}"
+    for name in ("ad", "cookie-notice", "comments-area", "related-posts", "ad-300x250", "sidebarLeft", "site-footer"):
+        assert html_extract.extract(f"<article><p>{text}</p></article><div class='{name}'><p>Not this, never.</p></div>") == text, name
+    talk = f"<section id=comments><ol><li><article class=comment-body><p>{text * 9}</p></article></ol></section>"
+    assert html_extract.extract(f"<div class=widget><main><p>{text}</p></main></div>{talk}") == text
+
+
 def test_pages(spark, small):
     rows = [(1, "http://a/x", PAGE, "t"), (2, None, None, "t"), (2, None, None, "t"), (None, "u", "", "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
