@@ -32,7 +32,7 @@ def op4_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, d: str) -> DataFrame:
-    return token_file.token_files(_docs(spark, d), public_tokenizers.path(WORDS))
+    return token_file.token_files(_docs(spark, d), public_tokenizers.path(WORDS), added_tokens=True)
 
 
 def op6_mix(spark: SparkSession, d: str) -> DataFrame:

@@ -13,6 +13,7 @@ plane zeros u64, bits packed low first in whole blocks, ones before each block u
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -148,14 +149,24 @@ class WordEncoder:
     A-Z are lower-cased. No piece of this tokenizer's pattern spans such a cut and its normaliser composes nothing
     across it, so the ids of the parts in a row are those of the text. A word of a-z alone is one piece which the
     normaliser leaves as it is, so only the model sees it.
+
+    With ``added_tokens`` the strings of the file's added tokens get their ids, as in the library's plain call; else
+    they are ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added_tokens: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self._tok, self._bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._tok.encode_special_tokens = True  # their strings are found before words are cut, or are ordinary text
+        added = self._tok.get_added_tokens_decoder() if added_tokens else {}
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that are not plain strings")
+        self._added = {t.content.encode(): k for k, t in enumerate(added.values(), 1)}
+        self._by_entry = {k: w for w, k in self._added.items()}
+        self._added_ids = list(added)
+        self._strings = re.compile(b"|".join(map(re.escape, sorted(self._added, key=len, reverse=True)))) if added else None
         self._bare.normalizer, self._bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         vocab = self._tok.get_vocab()
         self._ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -163,10 +174,12 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        """Entry 0 is END; entry k has the ids ``_arena[_start[k]:][:_len[k]]``."""
+        """Entry 0 is END, then the added tokens; entry k has the ids ``_arena[_start[k]:][:_len[k]]``."""
         self._known: dict[int, int] = {}
         self._start, self._len, self._arena = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
-        self._len[0], self._arena[0], self._used = 1, END, 1
+        self._used = 1 + len(self._added_ids)
+        self._len[: self._used], self._start[: self._used] = 1, np.arange(self._used)
+        self._arena[: self._used] = [END, *self._added_ids]
 
     def _learn(self, hashes: list[int], words: list[str]) -> None:
         order, flat, sizes, rest = [], [], [], []
@@ -188,7 +201,8 @@ class WordEncoder:
             flat.append(np.array(e.ids, np.uint32))
             sizes.append(np.array([len(flat[-1])]))
         ids, size = np.concatenate(flat), np.concatenate(sizes)
-        n, end = len(self._known) + 1, len(self._known) + 1 + len(words)
+        n = len(self._known) + 1 + len(self._added_ids)
+        end = n + len(words)
         while end > len(self._start):
             self._start, self._len = np.resize(self._start, 2 * len(self._start)), np.resize(self._len, 2 * len(self._len))
         while self._used + len(ids) > len(self._arena):
@@ -199,10 +213,23 @@ class WordEncoder:
         self._used += len(ids)
         self._known.update(zip([hashes[i] for i in order], range(n, end), strict=True))
 
+    def _find_added(self, raw: np.ndarray, off: np.ndarray) -> tuple[list[int], list[int]]:
+        """Places of the added tokens' strings, none across texts, and their entries."""
+        places, entries = [], []
+        if self._strings is not None and self._strings.search(data := raw.tobytes()):
+            for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                for m in self._strings.finditer(data, a, b):
+                    places.append(m.start())
+                    entries.append(self._added[m[0]])
+        return places, entries
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, END after each, and the number of each."""
         raw, off = text_buffer(texts)
+        places, entries = self._find_added(raw, off)
         raw = LOWER[raw]
+        for a, entry in zip(places, entries, strict=True):
+            raw[a : a + len(self._by_entry[entry])] = 32
         starts, ends, before = word_spans(raw, off)
         if len(raw) > 1:
             first, last = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
@@ -227,12 +254,16 @@ class WordEncoder:
                 spans = zip(starts[seen[new]].tolist(), ends[seen[new]].tolist(), strict=True)
                 self._learn(fresh, [data[a:b].decode() for a, b in spans])
                 at[new] = look(fresh)
+        found = at[which]
+        if places:
+            found = np.insert(found, np.searchsorted(starts, places), entries)
+            before = before + np.searchsorted(places, off)
         docs = len(off) - 1
         stops = before[1:] + np.arange(docs)
-        word = np.zeros(len(which) + docs, np.int64)  # entry 0, END, after each text
+        word = np.zeros(len(found) + docs, np.int64)  # entry 0, END, after each text
         own = np.ones(len(word), bool)
         own[stops] = False
-        word[own] = at[which]
+        word[own] = found
         size = self._len[word]
         total = np.cumsum(size, dtype=np.int64)
         step = (self._start[word] - (total - size)).astype(np.int32)
@@ -242,16 +273,16 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def _encoder(path: str, added_tokens: bool) -> WordEncoder:
+    return WordEncoder(path, added_tokens)
 
 
-def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, rows_per_task: int = ROWS_PER_TASK, added_tokens: bool = False) -> DataFrame:
     """Encodes whole texts (null: empty), END after each, and writes shards in ascending order of ids.
 
     Rows (task, part, ahead, n_tokens, n_docs, data): by (task, part) the shards are in order; ``ahead`` is the ids of
     the task's earlier shards; a shard ends with a document, at ``shard_tokens`` ids or soon after. Rows of one id
-    follow each other in the order of their texts.
+    follow each other in the order of their texts. ``added_tokens``: see WordEncoder.
     """
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
@@ -260,7 +291,7 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     schema = pa.schema([("task", pa.int32()), ("part", pa.int32()), ("ahead", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task, part, ahead = _encoder(path), TaskContext.get().partitionId(), 0, 0
+        enc, task, part, ahead = _encoder(path, added_tokens), TaskContext.get().partitionId(), 0, 0
         held: list = []
 
         def flush() -> pa.RecordBatch:

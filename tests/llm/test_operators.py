@@ -153,6 +153,30 @@ def test_token_files(spark, edges, empty):
     assert token_file.token_files(empty, path).count() == 0
 
 
+def test_added_tokens_equal_the_plain_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(queries.WORDS)
+    tok, enc = Tokenizer.from_file(path), token_file.WordEncoder(path, added_tokens=True)
+    glue = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<|", "|>", " ", "\n", "'", "'s", ".", "a", "Word", "\u0301", "=\u0338", "é", "İ", "中", "\xa0"])
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(st.lists(st.one_of(glue, st.text(max_size=4)), max_size=20).map("".join), max_size=4))
+    def check(texts):
+        ids, sizes = enc.encode(pa.array(texts, pa.string()))
+        want = [tok.encode(t, add_special_tokens=False).ids + [token_file.END] for t in texts]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+    check()
+    texts = ["one <|endoftext|> two", "<|endof", "text|> x<|startoftext|><|endoftext|>", "<|endoftext|>", ""]
+    table(spark, [(i, t, None, None) for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    start = 0
+    for r, t in zip(queries.op5_token_files(spark, str(tmp_path)).orderBy("doc_id").collect(), texts, strict=True):
+        ids = tok.encode(t, add_special_tokens=False).ids + [token_file.END]
+        assert tuple(r)[1:] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
+        start += len(ids)
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100, 5]) == [200.0, 165.0, 82.5, 10.0]
     assert mixing.targets([]) == [] and mixing.targets([0, 10]) == [0.0, 15.0]
