@@ -5,9 +5,10 @@ lane by lane, modulo a power of two. So it does not depend on their order, and a
 by adding or subtracting its vector. The vector has two parts:
 
 * ``ID_LANES`` lanes modulo 2^64, the digest of the paragraph's bytes: equality of multisets of paragraphs;
-* ``LIKE_LANES`` lanes modulo 2^16: each word of the paragraph, with the two before it in the paragraph (and its
+* ``LIKE_LANES`` lanes modulo 2^32: each word of the paragraph, with the two before it in the paragraph (and its
   place in a run of equal triples), adds +1 or -1 to one lane. The squared length of a difference of such vectors estimates how many of these word triples
-  differ (relative deviation about sqrt(2 / LIKE_LANES)), whence the likeness of two documents.
+  differ (relative deviation about sqrt(2 / LIKE_LANES)), whence the likeness of two documents. A word of more than
+  ``LONG`` bytes (text without spaces) counts as a row of pieces, cut where its content says so.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ from ferrule.llm.common import LOWER, hash_spans, mix, partitions, word_spans
 
 ID_LANES, LIKE_LANES = 8, 256
 ROWS_PER_SHARD = 1024
+#: A piece of a longer word has 4 characters on average; one of more than PIECE bytes is cut every 16 characters.
+LONG, PIECE = 48, 64
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 class Fingerprints:
-    """Fingerprints of some documents: ``ident`` uint64 (n, ID_LANES), ``like`` uint16 (n, LIKE_LANES)."""
+    """Fingerprints of some documents: ``ident`` uint64 (n, ID_LANES), ``like`` uint32 (n, LIKE_LANES)."""
 
     def __init__(self, ident: np.ndarray, like: np.ndarray) -> None:
         self.ident, self.like = ident, like
@@ -42,7 +45,7 @@ class Fingerprints:
         return Fingerprints(self.ident - other.ident, self.like - other.like)
 
     def strings(self) -> list[str]:
-        return [base64.b64encode(a.astype("<u8").tobytes() + b.astype("<u2").tobytes()).decode() for a, b in zip(self.ident, self.like, strict=True)]
+        return [base64.b64encode(a.astype("<u8").tobytes() + b.astype("<u4").tobytes()).decode() for a, b in zip(self.ident, self.like, strict=True)]
 
     def take(self, rows) -> "Fingerprints":
         return Fingerprints(self.ident[rows], self.like[rows])
@@ -51,19 +54,44 @@ class Fingerprints:
 def parse(strings: list[str]) -> Fingerprints:
     raw = [base64.b64decode(s) for s in strings]
     cut = 8 * ID_LANES
-    return Fingerprints(np.array([np.frombuffer(r[:cut], "<u8") for r in raw], np.uint64).reshape(-1, ID_LANES), np.array([np.frombuffer(r[cut:], "<u2") for r in raw], np.uint16).reshape(-1, LIKE_LANES))
+    return Fingerprints(np.array([np.frombuffer(r[:cut], "<u8") for r in raw], np.uint64).reshape(-1, ID_LANES), np.array([np.frombuffer(r[cut:], "<u4") for r in raw], np.uint32).reshape(-1, LIKE_LANES))
 
 
 def likeness(a: Fingerprints, b: Fingerprints) -> np.ndarray:
     """Estimated share of word triples in common, 0 to 1; 1 where the fingerprints are equal."""
-    x, y = a.like.view(np.int16).astype(np.float64), b.like.view(np.int16).astype(np.float64)
-    d = (a.like - b.like).view(np.int16).astype(np.float64)
+    x, y = a.like.view(np.int32).astype(np.float64), b.like.view(np.int32).astype(np.float64)
+    d = (a.like - b.like).view(np.int32).astype(np.float64)
     total = (x * x).sum(1) + (y * y).sum(1)
     near = 1 - (d * d).sum(1) / np.where(total > 0, total, 1)
     near = np.where(total > 0, near, 0.0)
     return np.where((a.ident == b.ident).all(1) & (a.like == b.like).all(1), 1.0, np.clip(near, 0.0, 1.0))
 
 
+def pieces(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans, those of more than LONG bytes cut before characters that follow certain four bytes of the span."""
+    new_starts, new_ends = [], []
+    for k in np.flatnonzero(ends - starts > LONG).tolist():
+        word = raw[starts[k] : ends[k]]
+        first = (word & 0xC0) != 0x80  # of a character
+        u = word.astype(np.uint64)
+        h = np.zeros(len(word), np.uint64)
+        h[4:] = mix(u[:-4] << np.uint64(24) | u[1:-3] << np.uint64(16) | u[2:-2] << np.uint64(8) | u[3:-1])
+        cut = first & (h & np.uint64(3) == 1)
+        cut[:4] = False
+        cut[0] = True
+        at = np.append(np.flatnonzero(cut), len(word))
+        for i in np.flatnonzero(np.diff(at) > PIECE).tolist():
+            chars = np.flatnonzero(first[at[i] : at[i + 1]])
+            cut[at[i] + chars[::16]] = True
+        at = np.flatnonzero(cut) + starts[k]
+        new_starts.append(at)
+        new_ends.append(np.append(at[1:], ends[k]))
+    if not new_starts:
+        return starts, ends
+    short = ends - starts <= LONG
+    return np.sort(np.concatenate([starts[short], *new_starts])), np.sort(np.concatenate([ends[short], *new_ends]))
+
+
 def fingerprints(texts: list[str]) -> Fingerprints:
     """Of whole texts; an empty text is one empty paragraph."""
     n = len(texts)
@@ -78,9 +106,12 @@ def fingerprints(texts: list[str]) -> Fingerprints:
     ident = np.add.reduceat(vectors, np.cumsum(counts) - counts, axis=0) if n else vectors
     raw = np.frombuffer(b"".join(raws), np.uint8)
     starts, ends, before = word_spans(raw, off)
-    like = np.zeros((n, LIKE_LANES), np.uint16)
+    like = np.zeros((n, LIKE_LANES), np.uint32)
     if len(starts):
-        w = hash_spans(LOWER[raw], starts, ends)
+        raw = LOWER[raw]
+        starts, ends = pieces(raw, starts, ends)
+        before = np.searchsorted(starts, off)
+        w = hash_spans(raw, starts, ends)
         line = np.cumsum(raw == 10)[starts]
         doc = np.repeat(np.arange(n), np.diff(before))
         one, two = np.zeros_like(w), np.zeros_like(w)
@@ -94,7 +125,7 @@ def fingerprints(texts: list[str]) -> Fingerprints:
         f = mix(f + (place - np.maximum.accumulate(np.where(fresh, place, 0))).astype(np.uint64) * _A)
         at = doc * LIKE_LANES + (f & np.uint64(LIKE_LANES - 1)).astype(np.int64)
         sums = np.bincount(at, weights=np.where(f >> np.uint64(63), 1.0, -1.0), minlength=n * LIKE_LANES)
-        like = sums.astype(np.int64).astype(np.uint16).reshape(n, LIKE_LANES)
+        like = sums.astype(np.int64).astype(np.uint32).reshape(n, LIKE_LANES)
     return Fingerprints(ident.astype(np.uint64), like)
 
 

@@ -272,6 +272,19 @@ def test_fingerprints_are_homomorphic():
     assert (back.ident == both.ident).all() and (back.like == both.like).all()
 
 
+def test_likeness_without_spaces_and_of_many_repeats():
+    rng = random.Random(5)
+    like = lambda a, b: fingerprint.likeness(fingerprint.fingerprints([a]), fingerprint.fingerprints([b]))[0]
+    for signs in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "".join(map(chr, range(0x4E00, 0x5200)))):
+        a, b = ("".join(rng.choices(signs, k=6000)) for _ in range(2))
+        assert like(a, fingerprint.edited(a, b)) > 0.5 and like(a, b[:9] + a) > 0.9 and like(a, b) < 0.3
+    assert like("a" * 20_000, "a" * 15_000 + "b" * 5000) > 0.5
+    assert abs(like("x y z\n" * 40_000, "x y z\n" * 20_000) - 0.8) < 0.01
+    long, other = "".join(rng.choices("abc", k=300)), "".join(rng.choices("xyz", k=300))
+    x, y, both = (fingerprint.fingerprints([t]) for t in (long, other, f"{long}\n{other}"))
+    assert (x + y).strings() == both.strings()
+
+
 def test_fingerprint_documents(spark, edges, empty):
     got = sorted(fingerprint.fingerprint_documents(edges).collect(), key=lambda r: r["doc_id"])
     order = sorted(EDGES, key=lambda r: -r[0])
