@@ -19,27 +19,39 @@ LEAST_SCORE = 0.35
 BROADCAST_IDS = 1_000_000
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``row``: the id where ids are unique, else a number for each row, ascending by id and text."""
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn("row", F.col("doc_id"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last()]
+    dealt = docs.repartitionByRange(common.partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return common.stored(dealt.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` but those whose id is in ``dropped``; texts do not move while the list is small."""
+    """``docs`` but those whose ``row`` is an id in ``dropped``; texts do not move while the list is small."""
     dropped = common.stored(dropped.select(F.col("doc_id").alias("__gone")).distinct(), "dropped")
     small = dropped.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if small else dropped, F.col("doc_id") == F.col("__gone"), "left_anti").select(*COLUMNS)
+    return docs.join(F.broadcast(dropped) if small else dropped, F.col("row") == F.col("__gone"), "left_anti").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no recognisable language go: no letters, or no language of a score above LEAST_SCORE."""
-    found = lang_id.identify(docs)
+    docs = _rows(docs)
+    found = lang_id.identify(docs, "row")
     return _without(docs, found.where((F.col("lang_pred") == lang_id.UNKNOWN) | (F.col("score") < LEAST_SCORE)))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest id stays."""
-    return _without(docs, exact_dedup.exact_groups(docs).where(~F.col("kept")))
+    """Of equal texts one row of the smallest id stays."""
+    docs = _rows(docs)
+    return _without(docs, exact_dedup.exact_groups(docs, "row").where(~F.col("kept")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest id stays."""
-    return _without(docs, near_dup.near_groups(docs).where(~F.col("kept")))
+    """Of each group of near-duplicates one row of the smallest id stays."""
+    docs = _rows(docs)
+    return _without(docs, near_dup.near_groups(docs, "row").where(~F.col("kept")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

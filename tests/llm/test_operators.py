@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -412,3 +413,44 @@ def test_pipeline(spark, small):
     for _, stage in corpus_pipeline.STAGES:
         nothing = stage(spark, nothing, small)
         assert nothing.count() == 0
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(90)) for x in "abc")
+    rows = [(1, a), (1, a), (2, a), (2, b), (3, b + " more"), (4, c), (5, c), (None, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    exact = corpus_pipeline.exact(spark, docs, "")
+    assert sorted((r["doc_id"], r["text"]) for r in exact.collect()) == [(1, a), (2, b), (3, b + " more"), (4, c)]
+    near = corpus_pipeline.near(spark, docs, "")
+    assert sorted((r["doc_id"], r["text"]) for r in near.collect()) == [(1, a), (2, b), (4, c)]
+
+
+def test_pipeline_is_the_whole_of_its_stages(spark, small, ranks):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    found = {r["doc_id"]: r for r in lang_id.identify(docs).collect()}
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect() if found[r["doc_id"]]["lang_pred"] != lang_id.UNKNOWN and found[r["doc_id"]]["score"] >= corpus_pipeline.LEAST_SCORE)
+    one = {}
+    for i, t in rows:
+        one.setdefault(re.sub("[\\x20\\x09-\\x0D]+", " ", t or ""), (i, t))
+    near = brute(one.values())
+    stay = [i for i, (_, comp) in near.items() if i == comp]
+    assert 0 < len(stay) < len(one) < docs.count()
+    left = docs.where(F.col("doc_id").isin(stay))
+    mix = mixing.Mix(left)
+    want = Counter((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in mix.texts(left).collect())
+    got = corpus_pipeline.run(spark, small).collect()
+    assert Counter((r["doc_id"], r["decoded_sha256"]) for r in got) == want
+    whole = tiktoken_of(ranks)
+    source = {r["doc_id"]: r["source"] for r in left.collect()}
+    sizes, words, targets = Counter(), Counter(), {}
+    for r in mixing.mix_documents(left).collect():
+        sizes[source[r["doc_id"]]] += r["size"]
+        targets[source[r["doc_id"]]] = r["target"]
+    for r in got:
+        assert r["n_tokens"] == len(r["ids"])
+        words[source[r["doc_id"]]] += len(whole.decode(r["ids"]).split())
+    assert set(sizes) == set(source.values()) and all(abs(words[s] - targets[s]) <= 64 for s in sizes)
