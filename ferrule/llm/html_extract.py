@@ -1,36 +1,54 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read into blocks of text, each with its root-to-leaf path of block elements. For each path the text length
-and the punctuation of its blocks are summed; both, over the number of blocks, are ratios that are high for running
-text and low for menus and notices. The ratios are smoothed over the neighbouring blocks of the page, fused by
-their product, and paths above a threshold (a share of the page's weighted mean) are content, as are those with much
-of the page's sentences. The article is all content, the other blocks of each ``article`` or ``main`` that holds some
-and of the lowest element that holds all the rest, what lies between (but menus), and the headings right before any of
-it; without what is in elements that never are the article (navigation, forms, scripts, comments, advertisements ...). An element that only
-a class or id name marks as such stays if it holds the article or most of the text.
+without links and the punctuation of its blocks are summed; both, over the number of blocks, are ratios that are high
+for running text and low for menus and notices. The ratios are smoothed over the neighbouring blocks, by how near they
+are in the tree, and fused by the root of their product. What tags, roles, class and id names say enters as a factor of the path, as
+does a headline in one of its elements; no name drops anything by itself. Paths above a threshold (a share of the page's
+weighted mean), and those with much of the page's weight in sentences, are content.
+
+The blocks of content paths are the article, completed by what the paths cannot show: within the lowest element that
+holds most of the content, blocks between its first and last (lists, captions, short lines) that are no menu and whose
+names do not set them apart; and headings right before content. Work is linear in the page, however deep it nests.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ferrule.llm.common import text_slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
-ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-#: Their content is not text.
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas xmp noembed noframes".split())
+#: Quotes count only around a whole value; other ones belong to a value without quotes and end with their tag.
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"(?=[\s/>])|=\s*'[^']*'(?=[\s/>])|[^>])*+)(>|\Z)",
+    re.S,
+)
+ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: Their content is not text. An unclosed one of the first kind reaches to the page's end.
+SWALLOW = frozenset("script style textarea xmp".split())
+RAW = SWALLOW | frozenset("noscript template title svg math iframe object canvas noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul head button label legend".split())
-#: Never part of an article. A header or footer is the page's or the article's own furniture alike.
-FURNITURE = frozenset("nav header footer aside form button select option label fieldset menu dialog search head".split())
+CLOSES_P = BLOCK - {"body", "html", "button", "label", "legend", "option"}
+#: Elements that end at the next of their kind, but for one beyond these.
+ITEMS = {
+    "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
+    "tr": (("tr",), ("table", "tbody", "thead", "tfoot")), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
+}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Never the container of an article by itself.
+PARTS = HEADINGS | frozenset("p pre blockquote figure figcaption caption ul ol dl li dt dd table tbody thead tfoot tr td th details summary".split())
+
+#: Factors of a path for an element in it.
+ASIDE, MARKED, NAMED = 0.002, 0.05, 2.0
+TAGS = dict.fromkeys("nav footer aside menu dialog search button select option label fieldset legend".split(), ASIDE) | {"header": 0.02, "form": 0.1, "article": NAMED, "main": NAMED}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form menu menubar toolbar alert".split())
 #: A class or id name marks furniture if it is one of these words, or a compound of at least one and of QUALIFIERS only.
 MARKS = frozenset(
@@ -39,279 +57,317 @@ MARKS = frozenset(
 QUALIFIERS = frozenset(
     "area author bar block body bottom box btn buttons card cards center container count desktop first form global google icon icons inner inline item items last left links list main media mobile module of page panel post posts primary right secondary section side site slot small sticky text thread title top unit wrap wrapper".split()
 )
-#: Never the name of an article's wrapper: its text may outweigh the article's.
+#: Marks that weigh more: the text may read like the article's.
 ASIDES = frozenset(
-    "ad ads adv advert advertisement adverts advertising adbox adsense comment comments commentlist consent cookie cookies copyright disclaimer disqus gdpr login newsletter reply replies respond sponsor sponsored".split()
+    "ad ads adv advert advertisement adverts advertising adbox adsense comment comments commentlist consent cookie cookies copyright disclaimer disqus gdpr login newsletter related reply replies respond share sharing shares sponsor sponsored".split()
 )
-#: A marked element stays if it holds an article or main with PART of the heaviest one's text; or HALF of the page's
-#: text outside of ASIDES; or, for ASIDES, nearly ALL of the text of a page without article and main.
-PART, HALF, ALL = 0.25, 0.5, 0.9
-NAMED = frozenset(("article", "main"))
-CLOSES_P = BLOCK - {"body", "html", "button", "label", "legend", "option"}
 PUNCTUATION = re.compile("[.,;:!?…、。，！？؟।]")
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Never the container of an article by itself.
-PARTS = HEADINGS | frozenset("p pre blockquote figure figcaption caption ul ol dl li dt dd table tbody thead tfoot tr td th details summary".split())
-#: A path with LARGE of the page's text in sentences is content whatever its score; a heading is kept if at most NEAR
-#: blocks that are not lie between it and the next kept one.
-SMOOTH, SHARE, LARGE, NEAR = 2, 0.35, 0.1, 2
+#: Text straight in a div or the like; an element with a headline in it; with one that is the page's title or its start.
+LOOSE, HEADED, TITLED = 0.5, 4.0, 32.0
+#: Blocks to each side; threshold over the mean; least score; weight of a path that is content whatever its score;
+#: share of the content that its container holds; a heading is kept if at most NEAR blocks lie between it and content.
+SMOOTH, SHARE, FLOOR, LARGE, MOST, NEAR = 2, 0.4, 0.12, 0.25, 0.8, 2
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
+    """An element: its place in page order, path, factor of the names on the way to it, and of a headline in it."""
+
     tag: str
-    label: str
-    parent: "Node | None"
-    out: bool
-    depth: int = 0
-    marked: int = 0
-    weight: float = field(default=0.0)
+    parent: int
+    depth: int
+    path: int
+    factor: float
+    article: bool
+    headed: float = 1.0
+
 
+@dataclass(slots=True)
+class Block:
+    """A run of text: its element, length of link text, depth of the lowest element around it and the one before."""
 
-def _furniture(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in FURNITURE or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
-        return True
-    return "display:none" in attrs.get("style", "").replace(" ", "").lower()
+    node: int
+    text: str
+    links: int
+    shared: int
+    path: int
+    factor: float
 
 
-def _marked(attrs: dict[str, str]) -> int:
-    """1 if a class or id name marks furniture, 2 if it is one of ASIDES, else 0."""
-    found = 0
+def _attributes(text: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for a in ATTR.finditer(text):
+        value = a[2] or ""
+        out.setdefault(a[1].lower(), value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value)
+    return out
+
+
+def _mark(attrs: dict[str, str], heading: bool) -> float:
+    """The factor of an element's class and id names, role and visibility. A heading may be called a header."""
+    found = 1.0
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
         words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if len(w) > 1]
         if MARKS.intersection(words) and all(w in MARKS or w in QUALIFIERS for w in words):
-            found = max(found, 2 if ASIDES.intersection(words) else 1)
+            if ASIDES.intersection(words):
+                found = min(found, 0.01)
+            elif not heading:
+                found = min(found, MARKED)
+    if attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
+        found = min(found, ASIDE)
     return found
 
 
-def _drop_marked(nodes: list[Node], found: list[tuple[Node, str, int]]) -> None:
-    """Sets ``out`` for marked elements, but for those that hold the article, and for all in them."""
-    own: Counter = Counter()
-    for node, text, k in found:
-        if not node.out:
-            own[id(node)] += max(0, len(text) - k)
-    beside: set[int] = set()  # elements in ASIDES
-    for x in nodes:
-        if id(x.parent) in beside or (x.marked == 2 and x.tag not in NAMED):
-            beside.add(id(x))
-    held, plain, named = Counter(own), Counter(), Counter()  # text in it; outside of ASIDES; of the heaviest article in it
-    for x in reversed(nodes):
-        plain[id(x)] += 0 if id(x) in beside else own[id(x)]
-        if x.tag in NAMED and not x.marked and not x.out:
-            named[id(x)] = max(named[id(x)], held[id(x)])
-        if x.parent is not None:
-            up = id(x.parent)
-            held[up] += held[id(x)]
-            plain[up] += plain[id(x)]
-            named[up] = max(named[up], named[id(x)])
-    root = id(nodes[0])
-    whole = not any(x.tag in NAMED and not x.marked and not x.out for x in nodes)
-    for x in nodes:
-        if x.parent is not None and x.parent.out:
-            x.out = True
-        elif x.marked and x.tag not in NAMED and not x.out:
-            if x.marked == 2:
-                large = whole and held[id(x)] >= ALL * held[root]
-            else:
-                large = plain[id(x)] >= HALF * plain[root]
-            article = named[id(x)] > 0 and named[id(x)] >= PART * named[root]
-            x.out = not (held[id(x)] and (article or large))
-
-
-def blocks(page: str) -> list[tuple[Node, str, int]]:
-    """(element, raw text, length of link text) of each run of text between block boundaries."""
-    root = Node("", "", None, False)
-    stack: list[Node] = [root]
-    nodes: list[Node] = [root]
-    found: list[tuple[Node, str, int]] = []
-    run: list[str] = []
-    links = link_depth = at = 0
-
-    def flush() -> None:
-        nonlocal links
-        text = " ".join(html.unescape("".join(run)).split()) if run else ""
-        if text:
-            found.append((stack[-1], text, links))
-        run.clear()
-        links = 0
+class _Reader:
+    """One pass over a page: ``nodes`` in page order, ``blocks``."""
 
-    def add(text: str) -> None:
-        nonlocal links
+    def __init__(self, page: str) -> None:
+        self.nodes = [Node("", -1, 0, 0, 1.0, False)]
+        self.blocks: list[Block] = []
+        self.title = ""
+        self._stack, self._open = [0], {}
+        self._paths: dict[tuple, int] = {}
+        self._run: list[str] = []
+        self._links = self._flagged = self._low = 0
+        self._in_link: list[float] = []  # factors of the open links
+        self._unclosed: set[str] = set()
+        self._read(page)
+        self._flush()
+
+    def _path(self, up: int, label: tuple) -> int:
+        return self._paths.setdefault((up, *label), len(self._paths) + 1)
+
+    def _flush(self) -> None:
+        text = " ".join(html.unescape("".join(self._run)).split()) if self._run else ""
+        if text:
+            at = self._stack[-1]
+            node = self.nodes[at]
+            path, factor = node.path, node.factor
+            if self._flagged >= 0.8 * sum(len(x.strip()) for x in self._run):  # a marked link is all there is
+                path, factor = self._path(path, ("a",)), factor * 0.01
+            self.blocks.append(Block(at, text, min(self._links, len(text)), min(self._low, node.depth), path, factor))
+            self._low = node.depth
+        self._run.clear()
+        self._links = self._flagged = 0
+
+    def _add(self, text: str) -> None:
         if text:
-            run.append(text)
-            if link_depth:
-                links += len(text)
-
-    n = len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:].removesuffix("]]>"))
-            continue
-        if not m[4]:  # cut off inside a tag
-            break
-        if m[1]:
-            if tag == "a":
-                link_depth = max(0, link_depth - 1)
-            elif tag in BLOCK or any(x.tag == tag for x in stack[1:]):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        flush()
-                        del stack[k:]
-                        link_depth = 0
-                        break
-            continue
-        if tag in RAW and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-            if tag != "svg" and tag != "math":
-                continue
-            continue
-        if tag == "br":
-            add(" ")
-            continue
-        if tag == "hr":
-            flush()
-            continue
-        if tag in VOID:
-            continue
+            self._run.append(text)
+            if self._in_link:
+                self._links += len(text)
+                if min(self._in_link) < 1:
+                    self._flagged += len(text.strip())
+
+    def _pop(self, down_to: int) -> None:
+        self._flush()
+        while len(self._stack) > down_to:
+            self._open[self.nodes[self._stack.pop()].tag] -= 1
+        self._low = min(self._low, self.nodes[self._stack[-1]].depth)
+        self._in_link.clear()
+
+    def _read(self, page: str) -> None:
+        at, n = 0, len(page)
+        while at < n:
+            m = TOKEN.search(page, at)
+            if m is None:
+                self._add(page[at:])
+                return
+            self._add(page[at : m.start()])
+            at = m.end()
+            tag = (m[2] or "").lower()
+            if not tag:
+                if m[0].startswith("<![CDATA["):
+                    self._add(m[0][9:].removesuffix("]]>"))
+            elif not m[4]:  # cut off inside a tag
+                return
+            elif m[1]:
+                self._close(tag)
+            elif tag in RAW and not (m[3].rstrip().endswith("/") and tag in ("svg", "math")):
+                at = self._skip(page, tag, at)
+            elif tag == "br":
+                self._add(" ")
+            elif tag == "hr":
+                self._flush()
+            elif tag not in VOID:
+                self._start(tag, _attributes(m[3]) if m[3].strip(" \t\r\n/") else {})
+
+    def _skip(self, page: str, tag: str, at: int) -> int:
+        """The end of an element that holds no text."""
+        end = None if tag in self._unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+        if end is None:
+            self._unclosed.add(tag)
+            return len(page) if tag in SWALLOW else at
+        if tag == "title" and not self.title:
+            self.title = " ".join(html.unescape(page[at : end.start()]).split())
+        return end.end()
+
+    def _close(self, tag: str) -> None:
         if tag == "a":
-            link_depth += 1
-            continue
-        attrs = {}
-        if m[3].strip():
-            for a in ATTR.finditer(m[3]):
-                attrs.setdefault(a[1].lower(), (a[2] or "").strip("\"'"))
-        out = tag in FURNITURE or (bool(attrs) and _furniture(tag, attrs))
-        marked = _marked(attrs) if attrs and tag not in ("html", "body") else 0
-        if tag not in BLOCK and not out and not marked:
-            continue
-        flush()
-        if tag in CLOSES_P and stack[-1].tag == "p":
-            stack.pop()
-        if tag == "li" or tag in ("dt", "dd", "tr", "td", "th", "option"):
-            alike = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}[tag]
-            stop = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in stop:
+            if self._in_link:
+                self._in_link.pop()
+        elif self._open.get(tag):
+            k = len(self._stack) - 1
+            while self.nodes[self._stack[k]].tag != tag:
+                k -= 1
+            self._pop(k)
+
+    def _start(self, tag: str, attrs: dict[str, str]) -> None:
+        mark = _mark(attrs, tag in HEADINGS) if attrs and tag not in ("html", "body") else 1.0
+        if tag == "a":
+            self._in_link.append(mark)
+            return
+        if tag not in BLOCK and mark == 1.0:
+            return
+        self._flush()
+        if tag in CLOSES_P and self.nodes[self._stack[-1]].tag == "p":
+            self._pop(len(self._stack) - 1)
+        if tag in ITEMS:
+            alike, stop = ITEMS[tag]
+            for k in range(len(self._stack) - 1, max(0, len(self._stack) - 64), -1):
+                x = self.nodes[self._stack[k]].tag
+                if x in stop:
                     break
-                if stack[k].tag in alike:
-                    del stack[k:]
+                if x in alike:
+                    self._pop(k)
                     break
-        up = stack[-1]
-        label = tag + ("." + attrs["class"].split()[0] if attrs.get("class", "").split() else "")
-        stack.append(Node(tag, f"{up.label}/{label}", up, up.out or out, up.depth + 1, marked))
-        nodes.append(stack[-1])
-    flush()
-    _drop_marked(nodes, found)
-    return found
-
-
-def _home(node: Node) -> Node | None:
-    """The outermost article around a block, else the outermost main, if any."""
-    article = main = None
-    x: Node | None = node
-    while x is not None:
-        if x.tag == "article":
-            article = x
-        elif x.tag == "main":
-            main = x
-        x = x.parent
-    return article or main
-
-
-def _common(a: Node, b: Node) -> Node:
-    """The lowest element that holds both."""
-    while a is not b:
-        if a.depth >= b.depth:
-            a = a.parent
+        up = self.nodes[self._stack[-1]]
+        own = TAGS.get(tag, 1.0)
+        if own == NAMED and up.article:
+            own = 1.0
+        factor = max(up.factor * own * mark, 1e-30)
+        name = attrs.get("class", "").split()
+        self.nodes.append(Node(tag, self._stack[-1], up.depth + 1, self._path(up.path, (tag, name[0] if name else "", mark)), factor, up.article or tag in ("article", "main")))
+        self._stack.append(len(self.nodes) - 1)
+        self._open[tag] = self._open.get(tag, 0) + 1
+
+
+def _smooth(v: list[float], blocks: list[Block], nodes: list[Node]) -> list[float]:
+    """Means over SMOOTH blocks to each side; one that is further in the tree than a sibling counts less."""
+    out = []
+    for i, own in enumerate(v):
+        total, weight = own, 1.0
+        for step in (-1, 1):
+            low, depth = 1 << 30, nodes[blocks[i].node].depth
+            for j in range(i + step, i + step * (SMOOTH + 1), step):
+                if not 0 <= j < len(v):
+                    break
+                low = min(low, blocks[j + 1 if step < 0 else j].shared)
+                far = depth + nodes[blocks[j].node].depth - 2 * low
+                w = 1.0 / max(1, far - 1) ** 2
+                total += w * v[j]
+                weight += w
+        out.append(total / weight)
+    return out
+
+
+def path_scores(page: "_Reader", ratios: bool = True) -> tuple[dict[int, float], float]:
+    """The fused score of each path, and the threshold. ``ratios`` off leaves the factors alone (tests)."""
+    blocks, nodes = page.blocks, page.nodes
+    size: dict[int, float] = {}
+    marks: dict[int, int] = {}
+    count: dict[int, int] = {}
+    for b in blocks:
+        size[b.path] = size.get(b.path, 0) + len(b.text) - b.links
+        marks[b.path] = marks.get(b.path, 0) + len(PUNCTUATION.findall(b.text))
+        count[b.path] = count.get(b.path, 0) + 1
+    for b in blocks:  # a headline counts for all that its element holds
+        x = nodes[b.node]
+        if x.tag in ("h1", "h2"):
+            titled = len(b.text) >= 0.5 * len(page.title) and (page.title.startswith(b.text) or b.text.startswith(page.title)) and page.title
+            up = nodes[x.parent]
+            up.headed = max(up.headed, TITLED if titled else HEADED if x.tag == "h1" else 1.0)
+    for x in nodes[1:]:
+        x.headed = max(x.headed, nodes[x.parent].headed)
+
+    def factor(b: Block) -> float:
+        x = nodes[b.node]
+        return b.factor * x.headed * (1.0 if x.tag in PARTS else LOOSE)
+
+    factors = [factor(b) for b in blocks]
+    if ratios:
+        length = _smooth([size[b.path] / count[b.path] for b in blocks], blocks, nodes)
+        dots = _smooth([1 + marks[b.path] / count[b.path] for b in blocks], blocks, nodes)
+    else:
+        length = dots = [1.0] * len(blocks)
+    score: dict[int, float] = {}
+    weight: dict[int, float] = {}
+    for b, x, y, f in zip(blocks, length, dots, factors, strict=True):
+        score[b.path] = score.get(b.path, 0.0) + (x * y) ** 0.5 * f / count[b.path]
+        weight[b.path] = weight.get(b.path, 0.0) + (len(b.text) - b.links) * f
+    total = sum(weight.values())
+    mean = sum(score[p] * weight[p] for p in score) / total if total else 0.0
+    limit = max(FLOOR if ratios else 0.0, SHARE * mean)
+    link = {p: 0 for p in size}
+    for b in blocks:
+        link[b.path] += b.links
+    out = {}
+    for p in score:
+        if link[p] > size[p]:
+            out[p] = 0.0
+        elif marks[p] and weight[p] >= LARGE * total and score[p] >= FLOOR:
+            out[p] = max(score[p], limit)
         else:
-            b = b.parent
-    return a
+            out[p] = score[p]
+    return out, limit
 
 
-def extract(page: str | None) -> str:
+def extract(text: str | None, ratios: bool = True) -> str:
     """The article's blocks in page order, joined by two line feeds; empty if there is none."""
-    found = blocks(page or "")
-    inside = [(n, t, k) for n, t, k in found if not n.out]
-    if not inside:
+    page = _Reader(text or "")
+    blocks, nodes = page.blocks, page.nodes
+    if not blocks:
         return ""
-    length, marks, count, link = Counter(), Counter(), Counter(), Counter()
-    for node, text, k in inside:
-        length[node.label] += len(text)
-        marks[node.label] += len(PUNCTUATION.findall(text))
-        count[node.label] += 1
-        link[node.label] += min(k, len(text))
-    ratio = [length[n.label] / count[n.label] * (1 - link[n.label] / length[n.label]) for n, _, _ in inside]
-    dots = [(1 + marks[n.label]) / count[n.label] for n, _, _ in inside]
-
-    def smooth(v: list[float]) -> list[float]:
-        sums = [0.0]
-        for x in v:
-            sums.append(sums[-1] + x)
-        return [(sums[min(len(v), i + SMOOTH + 1)] - sums[max(0, i - SMOOTH)]) / (min(len(v), i + SMOOTH + 1) - max(0, i - SMOOTH)) for i in range(len(v))]
-
-    score: dict[str, float] = defaultdict(float)
-    for (node, text, _), a, b in zip(inside, smooth(ratio), smooth(dots), strict=True):
-        score[node.label] += a * b / count[node.label]
-    total = sum(length.values())
-    mean = sum(score[p] * length[p] for p in score) / total
-    content = {p for p in score if score[p] >= SHARE * mean and link[p] <= 0.5 * length[p]}
-
-    every = sum(length[p] - link[p] for p in length)
-    content |= {p for p in length if link[p] <= 0.5 * length[p] and marks[p] and length[p] - link[p] >= LARGE * every}
-    if not content:
+    score, limit = path_scores(page, ratios)
+    keep = [score[b.path] > 0 and score[b.path] >= limit for b in blocks]
+    if not any(keep):
         return ""
 
-    homes: dict[int, Node] = {}
-    lost: Node | None = None  # holds all content outside articles
-    for node, _, _ in inside:
-        if node.label in content:
-            home = _home(node)
-            if home is not None:
-                homes[id(home)] = home
-            else:
-                lost = _common(lost, node) if lost is not None else node
-    while lost is not None and lost.tag in PARTS and lost.parent is not None:
-        lost = lost.parent
-    if lost is not None:
-        homes[id(lost)] = lost
-    within: dict[int, bool] = {}
-    keep = []
-    for node, text, k in inside:
-        way, x = [], node
-        while x is not None and id(x) not in within and id(x) not in homes:
-            way.append(x)
-            x = x.parent
-        held = x is not None and (id(x) in homes or within[id(x)])
-        for y in way:
-            within[id(y)] = held
-        menu = k >= 0.8 * len(text) and link[node.label] > 0.8 * length[node.label] and node.tag in ("li", "td", "div", "ul") and id(node) not in homes
-        keep.append(node.label in content or (held and not menu))
+    held = [0] * len(nodes)  # content in each element
+    for b, yes in zip(blocks, keep, strict=True):
+        held[b.node] += len(b.text) * yes
+    for i in range(len(nodes) - 1, 0, -1):
+        held[nodes[i].parent] += held[i]
+    home = 0  # later in page order and still with most of the content: the lowest such element
+    for i, x in enumerate(nodes):
+        if held[i] >= MOST * held[0] and (x.parent == home or i == 0):
+            home = i
+    while home and nodes[home].tag in PARTS:
+        home = nodes[home].parent
+    inside = [False] * len(nodes)
+    inside[home] = True
+    for i in range(home + 1, len(nodes)):
+        inside[i] = inside[nodes[i].parent]
+
+    size: dict[int, int] = {}
+    link: dict[int, int] = {}
+    for b in blocks:
+        size[b.path] = size.get(b.path, 0) + len(b.text)
+        link[b.path] = link.get(b.path, 0) + b.links
+
+    def menu(b: Block) -> bool:
+        tag = nodes[b.node].tag
+        return b.links >= 0.8 * len(b.text) and (tag not in PARTS or (link[b.path] > 0.8 * size[b.path] and tag != "p" and tag not in HEADINGS))
+
+    least = 0.3 * nodes[home].factor
+    chosen = list(keep)
     first, last = keep.index(True), len(keep) - keep[::-1].index(True)
-    for i in range(first, last):
-        label = inside[i][0].label
-        keep[i] = keep[i] or (link[label] <= 0.5 * length[label])
+    for i, b in enumerate(blocks):
+        if not keep[i] and inside[b.node] and b.factor >= least and not menu(b):
+            chosen[i] = first <= i < last or nodes[home].tag not in ("", "html", "body")
     gap = NEAR + 1
-    for i in range(len(inside) - 1, -1, -1):
-        if not keep[i] and gap <= NEAR and inside[i][0].tag in HEADINGS:
-            keep[i] = True
-        gap = 0 if keep[i] else gap + 1
-    return "\n\n".join(t for (_, t, _), yes in zip(inside, keep, strict=True) if yes)
+    for i in range(len(blocks) - 1, -1, -1):
+        x = nodes[blocks[i].node]
+        if not chosen[i] and gap <= NEAR and x.tag in HEADINGS and (blocks[i].factor >= least or (nodes[x.parent].tag == "header" and nodes[x.parent].article)):
+            chosen[i] = True
+        gap = 0 if chosen[i] else gap + 1
+    return "\n\n".join(b.text for b, yes in zip(blocks, chosen, strict=True) if yes)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row a page: page_id, url, text, n_chars. Null html counts as empty and gives an empty text.
+    """One row a page: page_id, url, text, n_chars. Null html counts as empty and gives an empty text; null ids and
+    urls stay null.
 
-    Repeated rows give repeated results; other columns are ignored. One pass, no shuffle; memory holds one page
-    and its blocks.
+    Repeated rows give repeated results; other columns are ignored; an empty table gives an empty result. One pass, no
+    shuffle; memory holds one page and its blocks, and time is linear in the page.
     """
     own = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -383,6 +384,56 @@ def test_html_names_do_not_drop_the_article():
     assert html_extract.extract(f"<div class=widget><main><p>{text}</p></main></div>{talk}") == text
 
 
+def _without_names(page):
+    page = re.sub(r"<(/?)(article|nav|header|footer|aside|form|section|main)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"""\s(class|id|role)=("[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+
+
+def test_html_paths_decide(spark):
+    """Without any telling tag, class or headline the ratios find the article; switched off they do not."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()]
+    whole = [html_extract.extract(p) for p in pages]
+    assert [html_extract.extract(_without_names(p)) for p in pages] == whole
+    bare = [re.sub(r"<title>.*?</title>", "", re.sub(r"<(/?)h1", r"<\1p", _without_names(p)), flags=re.S) for p in pages]
+    on, off = [html_extract.extract(p) for p in bare], [html_extract.extract(p, ratios=False) for p in bare]
+    assert all(set(w.split("\n\n")) <= set(x.split("\n\n")) for w, x in zip(whole, on, strict=True))  # nothing lost
+    assert sum(x == w for x, w in zip(on, whole, strict=True)) >= 0.75 * len(pages)
+    assert sum(x == w for x, w in zip(off, whole, strict=True)) == 0
+
+
+def test_html_quotes_and_names():
+    t = "Some words of a story, told well. It goes on, and on; so it does."
+    for opening in ("<p title=don't>", '<p title="don\'t>', "<p title='a>", '<p data-x="a > b" title=\'">\'>'):
+        assert html_extract.extract(f'<article><p>{t}</p>{opening}{t} 2</p><p class="x">{t} 3</p></article>') == f"{t}\n\n{t} 2\n\n{t} 3", opening
+    for name in ("content with-sidebar", "no-sidebar", "has-header", "layout hidden-print"):
+        assert html_extract.extract(f"<div class='{name}'><p>{t}</p></div><footer>So.</footer>") == t, name
+    assert html_extract.extract(f"<article><h1 class=header>Head</h1><p>{t}</p><a class=share>Share this</a></article>") == f"Head\n\n{t}"
+    assert html_extract.extract(f"<form><div><p>{t}</p></div><button>Go</button></form>") == t
+    assert html_extract.extract("<footer>&copy; all, rights; reserved.</footer>") == ""
+
+
+def test_html_of_a_blog():
+    s = "It was a long day, and the river rose; nobody knew why. The town waited, as it always had, for rain to stop."
+    c = "I really like this post, thanks for writing it! My own view, though, is different. Please tell us more, much more."
+    page = f"""<html><head><title>River rises | Site</title></head><body class="has-sidebar"><header><h1><a href=/>Site</a></h1><p>News, views, and more. Every day.</p></header>
+    <div id="cookie-banner"><p>We use cookies, as you know. By using this site, you agree. Read more about it here, please.</p><button>OK</button></div>
+    <div class="layout"><div><div class="post"><h2>River rises</h2><p>{s}</p><figcaption>A river, seen.</figcaption><p>{s}</p><h3>After</h3><ul><li>One</li><li>Two</li></ul><p>{s}</p>
+    <div class="ad-slot"><p>Buy our new shoes, now with laces. They are great, really great.</p></div><p>Short.</p><div><a href=a>Tweet</a> <a href=b>Post</a></div></div>
+    <div class="related-posts"><ul><li><a href=a>The town waits, once more, for the rain</a></li></ul></div><div id="comments"><h3>3 comments</h3>{f"<div><p>{c}</p></div>" * 5}</div></div>
+    <div id="sidebar"><h3>About</h3><p>{c}</p></div></div><form><p>Get our newsletter, weekly. No spam, ever.</p></form><footer><p>&copy; Site. All rights reserved; see terms.</p></footer></body></html>"""
+    want = f"River rises|{s}|A river, seen.|{s}|After|One|Two|{s}|".split("|")[:-1]
+    assert html_extract.extract(page).split("\n\n") == [*want, "Short."]
+    assert html_extract.extract(_without_names(page)).split("\n\n") == [*want, "Buy our new shoes, now with laces. They are great, really great.", "Short."]
+
+
+def test_html_is_linear():
+    n = 8000
+    for page in ("<div>" * n + "Some text, here.", "".join(f"<div>w{i}, so." for i in range(n)), "<li><ul>" + "<div>" * n + "<li>x</li>" * n, "<svg>" * n, '<a x="' * n, "<b class=ad>" * n, "</p></zz>" * n, "x" * 2_000_000):
+        start = time.perf_counter()
+        html_extract.extract(page)
+        assert time.perf_counter() - start < 1, page[:20]
+
+
 def test_pages(spark, small):
     rows = [(1, "http://a/x", PAGE, "t"), (2, None, None, "t"), (2, None, None, "t"), (None, "u", "", "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
