@@ -1,4 +1,5 @@
 import hashlib
+import mmap
 import random
 import re
 import time
@@ -102,81 +103,115 @@ def test_merge_index_takes_batches(spark):
     assert index.lookup(b"\1").collect()[0]["keep_id"] == 3 and index.lookup(b"\7").count() == 0
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(0, 40), max_size=1500))
-def test_wavelet_matrix(ids):
-    ids = np.array(ids, np.uint32)
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 40), st.just(7)), max_size=1500), st.integers(0, 60_000))
+def test_wavelet_matrix(ids, step):
+    ids = np.array([i * step for i in ids], np.uint32)
     s = token_file.Shard(token_file.build(ids, np.array([7]), np.array([len(ids)])))
     assert (s.ids() == ids).all() and len(s) == len(ids)
     for i in range(0, len(ids), 97):
         c = int(ids[i])
         assert s.access(i) == c and s.rank(c, i) == (ids[:i] == c).sum() and s.count(c) == (ids == c).sum()
-        assert s.select(c, s.rank(c, i)) == i
+        assert s.select(c, s.rank(c, i)) == i and (s.ids(i, min(i + 5, len(ids))) == ids[i : i + 5]).all()
     with pytest.raises(IndexError):
         s.select(99, 0)
 
 
-def test_word_encoder_equals_library():
+def test_a_shard_is_compressed_and_opened_by_document(tmp_path):
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(0, 900, 2000)
+    ids = np.minimum(rng.zipf(1.3, lengths.sum()), 49_000).astype(np.uint32)
+    data = token_file.build(ids, np.arange(2000), lengths, np.arange(2000) == 0)
+    counts = np.bincount(ids)
+    p = counts[counts > 0] / len(ids)
+    entropy = -(p * np.log2(p)).sum()
+    assert len(data) * 8 < 1.1 * (entropy + 0.2) * len(ids) + 128 * 2000 + 64 * len(p) < 16 * len(ids)
+    path = tmp_path / "shard"
+    path.write_bytes(data)
+    ends = np.cumsum(lengths)
+    with path.open("rb") as f:
+        s = token_file.Shard(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+        for k in (0, 1, 1000, 1999):
+            assert (s.document(k) == ids[ends[k] - lengths[k] : ends[k]]).all()
+        assert not s._cum  # counts of whole planes were not needed
+        assert s.null_ids[0] == 1 and s.doc_ids[1999] == 1999
+    for c in (1, 2, 48, 777):
+        where = np.flatnonzero(ids == c)
+        assert s.count(c) == len(where) and all(s.select(c, k) == where[k] for k in range(0, len(where), 1 + len(where) // 9))
+
+
+def test_code_lengths_are_those_of_huffman():
+    import heapq
+
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 50, 3000):
+        counts = -np.sort(-rng.integers(1, 400, n))
+        lifted = np.maximum(counts, -(-counts.sum() // 65536))
+        heap = [(int(c), k, [k]) for k, c in enumerate(lifted)]
+        depth = np.zeros(n, int)
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            depth[a[2] + b[2]] += 1
+            heapq.heappush(heap, (a[0] + b[0], a[1], a[2] + b[2]))
+        got = token_file.code_lengths(counts)
+        assert (got * lifted).sum() == max((depth * lifted).sum(), counts[0] if n == 1 else 0)
+
+
+def plain_tokenizer():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path(queries.WORDS)
-    tok, enc = Tokenizer.from_file(path), token_file.WordEncoder(path)
-    tok.encode_special_tokens = True
-    glue = st.sampled_from([" ", "\n", "'", "'s", "'ll", ".", ",", "$$$", "<", "=\u0338", "\u0301", "-", "<|endoftext|>", "_", "~", "a", "Word", "don", "é", "İ", "ß", "7", "½", "中", "🙂", "\x1c", "\xa0", "\u200d"])
+    return path, Tokenizer.from_file(path)
 
-    @settings(max_examples=600, deadline=None)
-    @given(st.lists(st.lists(st.one_of(glue, st.text(max_size=4), st.text("abcST.,'! é", max_size=8)), max_size=30).map("".join), max_size=4))
-    def check(texts):
-        ids, sizes = enc.encode(pa.array(texts, pa.string()))
-        assert len(sizes) == len(texts)
-        at = 0
-        for t, n in zip(texts, sizes, strict=True):
-            assert ids[at : at + n].tolist() == tok.encode(t, add_special_tokens=False).ids + [token_file.END], t
-            at += n
-        assert at == len(ids)
-
-    check()
 
+PIECES = st.sampled_from([" ", "\n", "'", "'s", "'ll", ".", ",", "$$$", "<", "=\u0338", "\u0301", "-", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<|", "|>", "_", "~", "a", "Word", "don", "é", "İ", "ß", "7", "½", "中", "🙂", "\x1c", "\xa0", "\u200d"])
 
-def test_token_files(spark, edges, empty):
-    from tokenizers import Tokenizer
 
-    path = public_tokenizers.path(queries.WORDS)
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    more = [(20 + i, t, None, None) for i, t in enumerate(["Don't, stop.now", "É é <|endoftext|>, x", "İ ǅ ß.,a", "a b c.", ".,.", "it's,'s", "ﬁ Ⅷ ½ 1,000.5"])]
-    docs = edges.unionByName(table(spark, more))
-    got = [tuple(r) for r in token_file.token_files(docs, path).orderBy("start").collect()]
-    start = 0
-    for (i, n_start, n, crc), (j, t, *_) in zip(got, EDGES + more, strict=True):
-        ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
-        assert (i, n_start, n, crc) == (j, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        start += n
-    assert token_file.token_files(empty, path).count() == 0
+def same_as_library(enc, tok, texts):
+    ids, sizes = enc.encode(pa.array(texts, pa.string()))
+    want = [tok.encode(t or "", add_special_tokens=False).ids + [token_file.END] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, []), texts
 
 
-def test_added_tokens_equal_the_plain_library(spark, tmp_path):
-    from tokenizers import Tokenizer
+def test_word_encoder_equals_the_untouched_library():
+    path, tok = plain_tokenizer()
+    enc = token_file.WordEncoder(path)
 
-    path = public_tokenizers.path(queries.WORDS)
-    tok, enc = Tokenizer.from_file(path), token_file.WordEncoder(path, added_tokens=True)
-    glue = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<|", "|>", " ", "\n", "'", "'s", ".", "a", "Word", "\u0301", "=\u0338", "é", "İ", "中", "\xa0"])
-
-    @settings(max_examples=400, deadline=None)
-    @given(st.lists(st.lists(st.one_of(glue, st.text(max_size=4)), max_size=20).map("".join), max_size=4))
+    @settings(max_examples=800, deadline=None)
+    @given(st.lists(st.lists(st.one_of(PIECES, st.text(max_size=4), st.text("abcST.,'! é", max_size=8)), max_size=30).map("".join), max_size=4))
     def check(texts):
-        ids, sizes = enc.encode(pa.array(texts, pa.string()))
-        want = [tok.encode(t, add_special_tokens=False).ids + [token_file.END] for t in texts]
-        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+        same_as_library(enc, tok, texts)
 
     check()
-    texts = ["one <|endoftext|> two", "<|endof", "text|> x<|startoftext|><|endoftext|>", "<|endoftext|>", ""]
-    table(spark, [(i, t, None, None) for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
-    start = 0
-    for r, t in zip(queries.op5_token_files(spark, str(tmp_path)).orderBy("doc_id").collect(), texts, strict=True):
-        ids = tok.encode(t, add_special_tokens=False).ids + [token_file.END]
-        assert tuple(r)[1:] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
-        start += len(ids)
+
+
+def test_word_encoder_survives_colliding_hashes(monkeypatch):
+    path, tok = plain_tokenizer()
+    monkeypatch.setattr(token_file, "hash_spans", lambda raw, a, b: (b - a).astype(np.uint64) % np.uint64(5))
+    enc = token_file.WordEncoder(path)
+    for texts in (["one two six", "ten"], ["six <|endoftext|> one", None, ""], ["aaaaaaa bb", "bb aaaaaaa"]):
+        same_as_library(enc, tok, texts)
+
+
+def test_token_files(spark, edges, empty, tmp_path):
+    path, tok = plain_tokenizer()
+    texts = ["Don't, stop.now", "É é <|endoftext|>, x", "İ ǅ ß.,a", "a b c.", ".,.", "it's,'s", "ﬁ Ⅷ ½ 1,000.5", "one <|endoftext|> two", "<|endof", "text|> x<|startoftext|><|endoftext|>"]
+    more = [(20 + i, t, None, None) for i, t in enumerate(texts)] + [(2**60 + 1, "far", None, None)]
+    none = [(None, "of no id", None, None), (None, None, None, None)]
+    docs = edges.unionByName(table(spark, more)).unionByName(table(spark, none))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in queries.op5_token_files(spark, str(tmp_path)).orderBy("start").collect()]
+    assert {r[0] for r in got[:2]} == {None}
+    known = {t or "": (len(ids := tok.encode(t or "", add_special_tokens=False).ids + [2]), zlib.crc32(np.array(ids, "<u4").tobytes())) for _, t, *_ in none + EDGES + more}
+    assert sorted(r[2:] for r in got[:2]) == sorted(known[t or ""] for _, t, *_ in none)
+    start = sum(r[2] for r in got[:2])
+    for (i, n_start, n, crc), (j, t, *_) in zip(got[2:], EDGES + more, strict=True):
+        assert (i, n_start, n, crc) == (j, start, *known[t or ""])
+        start += n
+    assert token_file.token_files(empty, path).count() == 0
+    few = token_file.write_shards(docs, path, shard_tokens=50, rows_per_task=3)
+    assert few.count() > 5 and sorted(map(str, token_file.read_shards(few).collect())) == sorted(str(spark.createDataFrame([r], "doc_id long, start long, n_tokens long, ids_crc32 long").first()) for r in got)
 
 
 def test_targets():
