@@ -138,30 +138,53 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, off)
 
 
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``raw`` on as one word; zeros follow the end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray(len(raw) + 1, np.uint64, padded.data, strides=(1,))
+
+
+#: The first k bytes of a word of eight.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, its length included."""
+    """A 64-bit hash of each span, its length included: eight bytes a step."""
     n = ends - starts
     h = n.astype(np.uint64) * _Q
-    order = np.argsort((LONG_WORD + 1 - np.minimum(n, LONG_WORD + 1)).astype(np.uint8), kind="stable")  # longest first
-    s, by = starts[order], n[order]
-    acc = h[order]
-    far = int(np.count_nonzero(n > LONG_WORD))
-    for k in range(far):
-        acc[k] = xxhash.xxh3_64_intdigest(raw[s[k] : s[k] + by[k]].tobytes())
-    size = np.bincount(np.minimum(by[far:], LONG_WORD), minlength=LONG_WORD + 2)
-    alive = len(by) - far - np.cumsum(size)  # spans of more than k bytes
-    for k in range(LONG_WORD + 1):
-        m = int(alive[k])
-        if m <= 0:
-            break
-        part = acc[far : far + m]
-        part ^= raw[s[far : far + m] + k]
-        part *= _P
-        part ^= part >> np.uint64(29)
-    h[order] = acc
+    if not len(n):
+        return h
+    words = eights(raw)
+    h ^= words[starts] & FIRST[np.minimum(n, 8)]
+    h *= _P
+    h ^= h >> np.uint64(29)
+    rest = np.flatnonzero((n > 8) & (n <= LONG_WORD))
+    at, left = starts[rest] + 8, n[rest] - 8
+    while len(rest):
+        v = h[rest] ^ (words[at] & FIRST[np.minimum(left, 8)])
+        v *= _P
+        v ^= v >> np.uint64(29)
+        h[rest] = v
+        on = left > 8
+        rest, at, left = rest[on], at[on] + 8, left[on] - 8
+    for k in np.flatnonzero(n > LONG_WORD).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]].tobytes())
     return mix(h)
 
 
+def same_spans(raw: np.ndarray, starts: np.ndarray, other: np.ndarray, at: np.ndarray, n: np.ndarray) -> bool:
+    """Whether n bytes from each start are those of ``other`` at the places ``at``."""
+    a, b = eights(raw), eights(other)
+    while len(n):
+        if ((a[starts] ^ b[at]) & FIRST[np.minimum(n, 8)]).any():
+            return False
+        on = n > 8
+        if on.all() and len(n) < 64:  # a few long ones
+            return all(np.array_equal(raw[s : s + k], other[t : t + k]) for s, t, k in zip(starts.tolist(), at.tolist(), n.tolist(), strict=True))
+        starts, at, n = starts[on] + 8, at[on] + 8, n[on] - 8
+    return True
+
+
 def shingles(words: np.ndarray, before: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of runs of ``width`` words of each text, and n + 1 offsets.
 

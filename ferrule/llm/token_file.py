@@ -23,7 +23,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import LOWER, hash_spans, partitions, stored, text_buffer, text_slices, tidy, word_spans
+from ferrule.llm.common import LOWER, hash_spans, partitions, same_spans, stored, text_buffer, text_slices, tidy, word_spans
 
 MAGIC, BLOCK = b"WMX2", 512
 SHARD_TOKENS = 2 << 20
@@ -42,7 +41,7 @@ ROWS_PER_TASK = 8192
 SPAN = 1 << 18
 END = 2
 _ONE = np.uint64(1)
-#: Words that one worker remembers (about 200 bytes each).
+#: Words that one worker remembers (about 100 bytes each).
 CACHE_WORDS = 600_000
 #: a-z; and ASCII punctuation other than an apostrophe.
 LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
@@ -309,14 +308,21 @@ class WordEncoder:
 
     def _clear(self) -> None:
         """Entry 0 is END, then the added tokens; entry k has the ids ``_arena[_start[k]:][:_len[k]]``."""
-        self._known: dict[int, int] = {}
+        self._keys, self._entries = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of known words, ascending by hash
         self._start, self._len, self._arena = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
         self._used = 1 + len(self._added_ids)
         self._len[: self._used], self._start[: self._used] = 1, np.arange(self._used)
         self._arena[: self._used] = [END, *self._added_ids]
         self._spelt, self._letters, self._word_at, self._word_len = 0, np.zeros(4096, np.uint8), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+    def _look(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1."""
+        if not len(self._keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self._keys, hashes), len(self._keys) - 1)
+        return np.where(self._keys[at] == hashes, self._entries[at], -1)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         order, flat, sizes, rest = [], [], [], []
         alpha = [i for i, w in enumerate(words) if w.isalpha()]
         for tok, todo in ((self._bare, [i for i in alpha if words[i].isascii()]), (self._tok, [i for i in alpha if not words[i].isascii()])):
@@ -336,7 +342,7 @@ class WordEncoder:
             flat.append(np.array(e.ids, np.uint32))
             sizes.append(np.array([len(flat[-1])]))
         ids, size = np.concatenate(flat), np.concatenate(sizes)
-        n = len(self._known) + 1 + len(self._added_ids)
+        n = len(self._keys) + 1 + len(self._added_ids)
         end = n + len(words)
         while end > len(self._start):
             self._start, self._len, self._word_at, self._word_len = (np.resize(v, 2 * len(v)) for v in (self._start, self._len, self._word_at, self._word_len))
@@ -346,7 +352,10 @@ class WordEncoder:
         self._len[n:end] = size
         self._arena[self._used : self._used + len(ids)] = ids
         self._used += len(ids)
-        self._known.update(zip([hashes[i] for i in order], range(n, end), strict=True))
+        keys = hashes[order]
+        by = np.argsort(keys)
+        at = np.searchsorted(self._keys, keys[by])
+        self._keys, self._entries = np.insert(self._keys, at, keys[by]), np.insert(self._entries, at, n + by)
         spelt = [words[i].encode() for i in order]
         size = np.array([len(w) for w in spelt])
         joined = np.frombuffer(b"".join(spelt), np.uint8)
@@ -362,13 +371,7 @@ class WordEncoder:
         size = ends - starts
         if not np.array_equal(size, self._word_len[found]):
             return False
-        for a in range(0, len(size), 1 << 16):
-            n = size[a : a + (1 << 16)]
-            shift = np.repeat(np.cumsum(n) - n, n)
-            place = np.arange(len(shift)) - shift
-            if not np.array_equal(raw[np.repeat(starts[a : a + len(n)], n) + place], self._letters[np.repeat(self._word_at[found[a : a + len(n)]], n) + place]):
-                return False
-        return True
+        return same_spans(raw, starts, self._letters[: self._spelt], self._word_at[found], size)
 
     def _find_added(self, raw: np.ndarray, off: np.ndarray) -> tuple[list[int], list[int]]:
         """Places of the added tokens' strings, none across texts, and their entries."""
@@ -399,18 +402,16 @@ class WordEncoder:
         which, distinct = pd.factorize(hash_spans(raw, starts, ends))
         at = np.zeros(len(distinct), np.int64)
         if len(distinct):
-            if len(self._known) + len(distinct) > CACHE_WORDS:
+            if len(self._keys) + len(distinct) > CACHE_WORDS:
                 self._clear()
-            keys = distinct.tolist()
-            look = lambda ks: np.fromiter(map(self._known.get, ks, repeat(-1)), np.int64, len(ks))
-            at = look(keys)
+            at = self._look(distinct)
             if len(new := np.flatnonzero(at < 0)):
                 seen = np.zeros(len(distinct), np.int64)
                 seen[which] = np.arange(len(which))
-                data, fresh = raw.tobytes(), [keys[i] for i in new]
+                data = raw.tobytes()
                 spans = zip(starts[seen[new]].tolist(), ends[seen[new]].tolist(), strict=True)
-                self._learn(fresh, [data[a:b].decode() for a, b in spans])
-                at[new] = look(fresh)
+                self._learn(distinct[new], [data[a:b].decode() for a, b in spans])
+                at[new] = self._look(distinct[new])
         found = at[which]
         if not self._same(raw, starts, ends, found):  # two words of one hash
             each = [[*e.ids, END] for e in self._plain.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
