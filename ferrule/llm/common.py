@@ -55,6 +55,7 @@ def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
 
 
 def removed(spark: SparkSession, path: str) -> None:
+    """Deletes what ``new_path`` named, once nothing reads it any more."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 

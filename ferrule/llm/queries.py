@@ -66,6 +66,6 @@ QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_quality, op4_exact
 ORACLES = {
     "op4_exact_dedup": r"""
       WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
-      SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, h AS text_sha256 FROM t WINDOW w AS (PARTITION BY h)""",
+      SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, h AS text_sha256 FROM t WINDOW w AS (PARTITION BY h)""",
     "op9_line_dedup": line_dedup.ORACLE,
 }

@@ -87,20 +87,75 @@ def test_exact_groups(spark, edges, empty):
     assert exact_dedup.exact_groups(edges).count() == len(EDGES) and exact_dedup.exact_groups(empty).count() == 0
 
 
+def test_exact_groups_of_repeats_and_null_ids(spark):
+    rows = [(1, "a b"), (1, "a  b"), (1, "c"), (2, "c"), (None, "c"), (None, "d"), (None, "d"), (7, None), (3, "")]
+    docs = table(spark, [(i, t, None, None) for i, t in rows])
+    got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(docs).collect())
+    assert got == Counter([(1, 1, 2, True)] * 2 + [(1, 1, 3, True), (2, 1, 3, False), (None, 1, 3, False)] + [(None, None, 2, True)] * 2 + [(7, 3, 2, False), (3, 3, 2, True)])
+
+
+def test_exact_groups_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(9)
+    by = defaultdict(list)
+    for r in docs.collect():
+        by[re.sub("[\\x20\\x09-\\x0D]+", " ", r["text"] or "")].append(r["doc_id"])
+    want = sorted((i, min(ids), len(ids), i == min(ids), hashlib.sha256(t.encode()).hexdigest()) for t, ids in by.items() for i in ids)
+    assert sorted(map(tuple, exact_dedup.exact_groups(docs).collect())) == want
+
+
 def test_exact_groups_survive_colliding_digests(spark, edges):
     weak = lambda c: F.substring(F.unhex(F.sha2(c, 256)), 1, 0)  # noqa: E731  one digest for all
     plain = sorted(map(tuple, exact_dedup.exact_groups(edges).collect()))
     assert sorted(map(tuple, exact_dedup.exact_groups(edges, digest=weak).collect())) == plain
-    assert sorted(map(tuple, exact_dedup.exact_groups(edges, digest=weak, broadcast_digests=0).collect())) == plain
+    assert sorted(map(tuple, exact_dedup.exact_groups(edges, flushes=1).collect())) == plain
 
 
-def test_merge_index_takes_batches(spark):
+def test_merge_index_levels(spark):
+    from ferrule.operators.exchange import exchanges, node_names
+
     index = exact_dedup.MergeIndex(spark)
-    for ids in ([5, 3], [4, 9]):
-        index.add(spark.createDataFrame([(bytes([i % 2]), i) for i in ids], "digest binary, doc_id long"))
+    add = lambda rows: index.add(spark.createDataFrame([(bytes([d]), i) for d, i in rows], "digest binary, doc_id long"))
+    add([(1, 5), (1, 3), (2, 8)])
+    assert [len(x) for x in index.levels] == [1]
+    add([(2, 4), (0, 9)])
+    assert [len(x) for x in index.levels] == [0, 1]  # two runs of level 0 became one of level 1
+    add([(3, 7), (1, None)])
+    assert [len(x) for x in index.levels] == [1, 1] and index.lookup(b"\1").collect() == [(b"\1", 3, 3)]
+    runs = [spark.table(r[0]) for level in index.levels for r in level]
+    both = index.merged(*runs)
+    assert [x.kind for x in exchanges(both)] == [] and "SortMergeJoin" in node_names(both)  # runs merge where they lie
     level = {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in index.compact().collect()}
-    assert level == {b"\1": (3, 3), b"\0": (4, 1)}
-    assert index.lookup(b"\1").collect()[0]["keep_id"] == 3 and index.lookup(b"\7").count() == 0
+    assert level == {b"\1": (3, 3), b"\0": (9, 1), b"\2": (4, 2), b"\3": (7, 1)} and [len(x) for x in index.levels] == [1]
+    assert index.lookup(b"\7").count() == 0
+
+
+def test_probes_read_only_what_filters_let_through(spark):
+    """Of a run of 4 buckets a probe opens one file; its filter spares the row group if the digest is unknown."""
+    index = exact_dedup.MergeIndex(spark)
+    index.add(spark.range(4000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), F.col("id").alias("doc_id")))
+
+    run = spark.table(index.levels[0][0][0])
+
+    def read(text):
+        digest = hashlib.sha256(text.encode()).digest()
+        df = run.where(F.col("digest") == F.lit(digest))
+        scan = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        assert len(df.collect()) == index.lookup(digest).count()
+        assert "SelectedBucketsCount: 1 out of 4" in scan.toString()
+        return df.count(), scan.metrics().apply("numOutputRows").value()
+
+    hit, miss = read("17"), read("not there")
+    assert hit[0] == 1 and 1 <= hit[1] < 1300  # one bucket's file
+    assert miss == (0, 0)  # its filter spared all rows
+
+
+def test_filter_of_several_digests(spark):
+    sha = F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest")
+    known = exact_dedup.filter_of(spark.range(500).select(sha))
+    assert known.count() <= exact_dedup.FILTER_ROWS
+    inside = exact_dedup.probed(spark.range(500).select(sha), known).where("maybe").count()
+    outside = exact_dedup.probed(spark.range(1000, 6000).select(sha), known).where("maybe").count()
+    assert inside == 500 and outside < 5
 
 
 @settings(max_examples=60, deadline=None)
