@@ -26,9 +26,11 @@ from ferrule.llm.common import new_path, partitions, removed, stored
 SPACES = "[\\x20\\x09-\\x0D]+"
 #: Flushes of the corpus, and runs of one level that are compacted.
 FLUSHES, FANOUT = 4, 2
-#: Rows of 32,768 bits each: 8 MB in all.
-FILTER_ROWS = 2048
+#: Rows of 32,768 bits each: 2 MB in all.
+FILTER_ROWS = 512
 FILTER_BITS = FILTER_ROWS * 32768
+#: A digest with more than 1 / HOT of all rows is broadcast; there are fewer than HOT of these.
+HOT = 1000
 
 
 def normalised(text: Column) -> Column:
@@ -154,7 +156,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         sha_of = F.lower(F.hex("digest")).alias("text_sha256")
         found = probed(entries.select("digest", "doc_id"), known)
         alone = found.where("NOT maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha_of)
-        return alone.unionByName(found.where("maybe").join(level, "digest").select("doc_id", "keep_id", "group_size", kept, sha_of))
+        level = level.withColumnRenamed("digest", "key")
+        common = F.broadcast(level.where(F.col("group_size") * HOT > entries.count()))  # fewer than HOT rows, or than the table
+        columns = ["doc_id", "keep_id", "group_size", kept, sha_of]
+        maybe = found.where("maybe").join(common, F.col("digest") == F.col("key"), "left")
+        rest = maybe.where("key IS NULL").select("digest", "doc_id").join(level, F.col("digest") == F.col("key"))
+        return alone.unionByName(maybe.where("key IS NOT NULL").select(*columns)).unionByName(rest.select(*columns))
     # group by the texts themselves where a digest has several
     bad = bad.distinct()
     full = own.withColumn("digest", key(F.col("norm"))).withColumn("text_sha256", F.lower(F.hex(sha(F.col("norm")))))
