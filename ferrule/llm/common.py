@@ -51,7 +51,9 @@ def stored(df: DataFrame, what: str, **options: str) -> DataFrame:
     for k, v in options.items():
         writer = writer.option(k, v)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def removed(spark: SparkSession, path: str) -> None:
@@ -60,6 +62,12 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` has written, once nothing reads them any more."""
+    for t in tables:
+        removed(t.sparkSession, t.stored_at)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -349,6 +349,59 @@ def test_near_groups(spark, edges, empty):
     assert near_dup.near_groups(empty).count() == 0
 
 
+def test_near_groups_equal_brute_force_at_scale(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_groups(docs).collect()}
+    assert got == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_near_recall_by_similarity(spark):
+    """Pairs apart from each other, by band of their exact similarity: none at 0.75 or more is lost, none below linked."""
+    rng, rows, bands = random.Random(8), [], defaultdict(list)
+    for k in range(900):
+        text = [f"p{k}x{i}" for i in range(rng.randint(60, 300))]
+        a, b = 2 * k, 2 * k + 1
+        cut = int(len(text) * rng.uniform(0.02, 0.17))
+        if k % 2:
+            other = text[cut:] + [f"q{k}x{i}" for i in range(cut)]
+        else:
+            other = [w if rng.random() > cut / len(text) / 4 else w + "!" for w in text]
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (text, other))
+        bands[min(int(100 * len(x & y) / len(x | y)) // 5 * 5, 95)].append((a, b, 100 * len(x & y) >= 75 * len(x | y)))
+        rows += [(a, " ".join(text), None, None), (b, " ".join(other), None, None)]
+    comp = {r["doc_id"]: r["component_id"] for r in near_dup.near_groups(table(spark, rows)).collect()}
+    assert all(len(bands[k]) >= 20 for k in (70, 75, 80, 85, 90))
+    for k, pairs in bands.items():
+        assert all((comp[b] == a) == linked for a, b, linked in pairs), k
+
+
+def template_documents(n):
+    """Documents with a long passage in common, all pairs of similarity 0.55."""
+    passage = " ".join(f"shared{i}" for i in range(145))
+    return [(i, passage + " " + " ".join(f"own{i}x{k}" for k in range(57)), None, None) for i in range(n)]
+
+
+def test_candidates_of_a_shared_passage_do_not_grow_with_its_square(spark, monkeypatch):
+    found = []
+    monkeypatch.setattr(near_dup, "confirm", lambda sets, pairs, f=near_dup.confirm: (found.append(pairs.count()), f(sets, pairs))[1])
+    for n in (500, 4000):
+        rows = template_documents(n)
+        rows += [(n + i, rows[i][1] + " more", None, None) for i in range(0, 100)]  # a near copy each of some
+        got = {r["doc_id"]: r["component_id"] for r in near_dup.near_groups(table(spark, rows)).collect()}
+        assert got == {i: i if i < n else i - n for i in range(n + 100)}
+    votes, open_ = found[0::2], found[1::2]
+    assert votes[1] <= 4400 and open_[1] <= 2 * 4000 and open_[1] <= 12 * max(open_[0], 100)
+
+
+def test_near_groups_of_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(90)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, c), (None, c), (None, a), (None, "of its own"), (None, "of its own"), (1, ""), (None, None), (7, a), (7, a)]
+    got = Counter((r["doc_id"], r["n_shingles"] > 0, r["component_id"], r["kept"]) for r in near_dup.near_groups(table(spark, [(i, t, None, None) for i, t in rows])).collect())
+    want = [(1, True, 1, True)] * 2 + [(2, True, 1, False), (3, True, 1, False), (4, True, 4, True), (None, True, 4, False), (None, True, 1, False)]
+    want += [(None, True, None, True)] * 2 + [(1, False, 1, True), (None, False, None, True)] + [(7, True, 1, False)] * 2
+    assert got == Counter(want)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90)], "a long, b long")
     got = {r["id"]: r["comp"] for r in near_dup.components(edges).collect()}
