@@ -9,7 +9,8 @@ distance is 31 of 64, while pairs of similarity 0.75 have 16 on average, with de
 pairs at the very threshold is beyond it, and closer ones less often. Nothing else loses a pair.
 
 Keys that thousands of documents share must not list all pairs. Documents with equal sets are one class first. Then
-each class proposes one link, to the smallest member of the buckets it shares most often; links are confirmed and
+components grow in ROUNDS rounds: in each bucket, in a random order, each class meets the next NEXT classes, and of
+all that it has met in other components it proposes links to the BEST nearest by signature; these are confirmed and
 merged. After that only pairs in a common bucket but of different components are still open:
 
 * A bucket of at most LIGHT classes lists its open pairs.
@@ -37,6 +38,8 @@ from ferrule.llm.common import LOWER, discard, hash_spans, mix, partitions, shin
 SHINGLE, PERCENT = 5, 75
 DIGITS, BITS, CHUNKS, WIDTH, ERRORS = 64, 16, 16, 4, 1
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
+#: Rounds of proposals; classes that one meets in a bucket; proposals of each; classes that are put in order together.
+ROUNDS, NEXT, BEST, GROUP = 2, 3, 2, 256
 #: Classes in a bucket that lists its open pairs.
 LIGHT = 16
 #: Places in which the members of one centre meet it, at most; one that has fewer has no more places than members.
@@ -92,9 +95,9 @@ def index_keys(sig: np.ndarray) -> np.ndarray:
     return out.reshape(len(sig), CHUNKS * WIDTH).view(np.int64)
 
 
-def _differ(a: str, b: str) -> str:
-    """SQL of a word with a bit for each digit in which two signatures (arrays of planes) differ."""
-    return "(" + " | ".join(f"({a}[{i}] ^ {b}[{i}])" for i in range(BITS)) + ")"
+def _differ(a: str, b: str, bits: int = BITS) -> str:
+    """SQL of a word with a bit for each digit in which two signatures (arrays of planes) differ, by their first bits."""
+    return "(" + " | ".join(f"({a}[{i}] ^ {b}[{i}])" for i in range(bits)) + ")"
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -233,11 +236,30 @@ def prefix_pairs(sets: DataFrame, ids: DataFrame) -> DataFrame:
     return pairs
 
 
+def still_open(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows (key, id, comp, m) of the ``buckets`` (key, id) of m classes that hold several components."""
+    known = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")) if labels is not None else buckets.select("key", "id", F.col("id").alias("comp"))
+    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
+    return stored(known.join(mixed, "key"), "open")
+
+
+def proposals(open_: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
+    """Pairs (a, b): for each class the BEST nearest of those of other components that it meets in the open buckets."""
+    brief = classes.select("id", "n", F.slice("sig", 1, 4).alias("sig"))  # four bits of each digit
+    order = F.xxhash64("id", "key", F.lit(seed))
+    dealt = open_.withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("m") / GROUP))).join(brief, "id")
+    ahead = Window.partitionBy("key", "part").orderBy(order, "id").rowsBetween(1, NEXT)
+    me = F.struct("id", "comp", "n", "sig")
+    met = dealt.select(me.alias("x"), F.collect_list(me).over(ahead).alias("ys")).select("x", F.explode("ys").alias("y")).where(f"x.comp <> y.comp AND 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)")
+    apart = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.expr(f"bit_count({_differ('x.sig', 'y.sig', 4)})").alias("d")).where(f"d <= {DISTANCE}").distinct()
+    both = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    best = both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d", F.xxhash64("b", F.lit(seed)), "b"))).where(F.col("rank") <= BEST)
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def candidates(buckets: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """Open pairs (a, b) within the signature distance."""
-    known = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m")
-    still = stored(known.join(mixed, "key"), "open")
+    still = still_open(buckets, labels)
     info = classes.select("id", "n", "sig")
     ids = stored(still.where(F.col("m") > LIGHT).select("id", "comp").distinct().join(classes.select("id", "n"), "id"), "heavy")
     x, y = (still.where(F.col("m") <= LIGHT).select(*[F.col(c).alias(f"{p}_{c}") for c in ("key", "id", "comp")]) for p in "xy")
@@ -267,15 +289,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "digest", "row.doc_id", "row.h", "n", "sig", "keys"), "classes")
 
     keyed = classes.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("m")).where("m > 1").select("key", "low")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     buckets = stored(keyed.join(shared, "key"), "buckets")
     wanted = stored(buckets.select("id").distinct().join(classes.select("id", "doc_id", "h"), "id"), "wanted")
     sets = sets_by_class(own, wanted)
 
-    votes = buckets.where("id <> low").groupBy("id", "low").agg(F.count("*").alias("v"))
-    best = votes.groupBy("id").agg(F.max(F.struct("v", (-F.col("low")).alias("low"))).alias("x")).select((-F.col("x.low")).alias("a"), F.col("id").alias("b"))
-    links = confirm(sets, best)
-    labels = components(links)
+    links, labels = None, None
+    for k in range(ROUNDS):
+        open_ = still_open(buckets, labels)
+        new = confirm(sets, proposals(open_, classes, k))
+        discard(open_, *([labels] if labels is not None else []))
+        links = new if links is None else links.unionByName(new)
+        labels = components(links)
     found = candidates(buckets, labels, classes, sets)
     more = confirm(sets, found)
 
@@ -290,7 +315,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     comps = classes.select("id", "digest", "doc_id").join(labels, "id", "left").select("digest", "doc_id", F.coalesce("comp", "id").alias("comp"))
     lowest = comps.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     ids = stored(comps.join(lowest, "comp").select("digest", "component_id"), "components")
-    discard(buckets, wanted, sets, links, found, more, one_id, labels, classes)
+    discard(buckets, wanted, sets, found, more, one_id, labels, classes)
     out = signed.select("doc_id", "n_shingles", "digest")
     with_set = out.where("n_shingles > 0").join(ids, "digest").select("doc_id", "n_shingles", "component_id")
     without = out.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

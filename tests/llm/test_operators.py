@@ -389,8 +389,8 @@ def test_candidates_of_a_shared_passage_do_not_grow_with_its_square(spark, monke
         rows += [(n + i, rows[i][1] + " more", None, None) for i in range(0, 100)]  # a near copy each of some
         got = {r["doc_id"]: r["component_id"] for r in near_dup.near_groups(table(spark, rows)).collect()}
         assert got == {i: i if i < n else i - n for i in range(n + 100)}
-    votes, open_ = found[0::2], found[1::2]
-    assert votes[1] <= 4400 and open_[1] <= 2 * 4000 and open_[1] <= 12 * max(open_[0], 100)
+    few, many = found[: len(found) // 2], found[len(found) // 2 :]
+    assert sum(many) <= 10 * sum(few) <= 10 * 3000 and many[-1] <= 1000  # of 8 million pairs: proposals are linear, few stay open
 
 
 def test_near_groups_of_repeated_and_null_ids(spark):
