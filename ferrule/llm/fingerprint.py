@@ -5,10 +5,14 @@ lane by lane, modulo a power of two. So it does not depend on their order, and a
 by adding or subtracting its vector. The vector has two parts:
 
 * ``ID_LANES`` lanes modulo 2^64, the digest of the paragraph's bytes: equality of multisets of paragraphs;
-* ``LIKE_LANES`` lanes modulo 2^32: each word of the paragraph, with the two before it in the paragraph (and its
-  place in a run of equal triples), adds +1 or -1 to one lane. The squared length of a difference of such vectors estimates how many of these word triples
-  differ (relative deviation about sqrt(2 / LIKE_LANES)), whence the likeness of two documents. A word of more than
-  ``LONG`` bytes (text without spaces) counts as a row of pieces, cut where its content says so.
+* ``LIKE_LANES`` lanes modulo 2^32: each feature of the paragraph adds +1 or -1 to one lane. A feature is a word with
+  the two before it in the paragraph; the k-th of equal features in a paragraph is a feature of its own. A word of more than ``LONG`` bytes (text without
+  spaces) counts as a row of pieces, cut where its content says so.
+
+Likeness is the share of features in common (twice those over the sum of both). A lane that k features meet is a sum of k
+signs, whose mean absolute value over all lanes tells k; so the lanes of two fingerprints and of their difference give
+both numbers of features and that of those that differ. Absolute values, not squares: a paragraph that one text repeats
+many times sets a few lanes far apart and does not outweigh the others.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,7 +31,9 @@ from pyspark.sql import functions as F
 from ferrule.llm.common import LOWER, hash_spans, mix, partitions, word_spans
 
 ID_LANES, LIKE_LANES = 8, 256
-ROWS_PER_SHARD = 1024
+ROWS_PER_SHARD, MOST_SHARDS = 1024, 20_000
+#: Rows whose ids are looked at, a shard, for even shards; results do not depend on them.
+LOOKED_AT = 20
 #: A piece of a longer word has 4 characters on average; one of more than PIECE bytes is cut every 16 characters.
 LONG, PIECE = 48, 64
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -57,13 +64,26 @@ def parse(strings: list[str]) -> Fingerprints:
     return Fingerprints(np.array([np.frombuffer(r[:cut], "<u8") for r in raw], np.uint64).reshape(-1, ID_LANES), np.array([np.frombuffer(r[cut:], "<u4") for r in raw], np.uint32).reshape(-1, LIKE_LANES))
 
 
+@lru_cache(maxsize=1)
+def _signs() -> tuple[np.ndarray, np.ndarray]:
+    """Mean absolute values of sums of a Poisson number of signs, by the mean of that number."""
+    mean = np.concatenate([np.linspace(0, 1, 101), np.geomspace(1.02, 1e4, 500)])
+    angle = (np.arange(6000) + 0.5) * (np.pi / 6000)
+    value = mean * np.array([(np.exp(m * (np.cos(angle) - 1)) * (1 + np.cos(angle))).mean() for m in mean])
+    return value, mean
+
+
+def _features(lanes: np.ndarray) -> np.ndarray:
+    """Features a lane of each row, from its mean absolute value."""
+    v = np.abs(lanes.view(np.int32).astype(np.float64)).mean(1)
+    value, mean = _signs()
+    return np.where(v < value[-1], np.interp(v, value, mean), v * v * (np.pi / 2))
+
+
 def likeness(a: Fingerprints, b: Fingerprints) -> np.ndarray:
-    """Estimated share of word triples in common, 0 to 1; 1 where the fingerprints are equal."""
-    x, y = a.like.view(np.int32).astype(np.float64), b.like.view(np.int32).astype(np.float64)
-    d = (a.like - b.like).view(np.int32).astype(np.float64)
-    total = (x * x).sum(1) + (y * y).sum(1)
-    near = 1 - (d * d).sum(1) / np.where(total > 0, total, 1)
-    near = np.where(total > 0, near, 0.0)
+    """Estimated share of features in common, 0 to 1; 1 where the fingerprints are equal."""
+    total = _features(a.like) + _features(b.like)
+    near = np.where(total > 0, 1 - _features(a.like - b.like) / np.where(total > 0, total, 1), 0.0)
     return np.where((a.ident == b.ident).all(1) & (a.like == b.like).all(1), 1.0, np.clip(near, 0.0, 1.0))
 
 
@@ -92,6 +112,19 @@ def pieces(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return np.sort(np.concatenate([starts[short], *new_starts])), np.sort(np.concatenate([ends[short], *new_ends]))
 
 
+def _word_features(raw: np.ndarray, off: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words with the two before them, and their paragraphs (which begin at ``first``)."""
+    starts, ends, _ = word_spans(raw, off)
+    starts, ends = pieces(raw, starts, ends)
+    w = hash_spans(raw, starts, ends)
+    line = np.searchsorted(first, starts, side="right") - 1
+    one, two = np.zeros_like(w), np.zeros_like(w)
+    same = line[1:] == line[:-1]
+    one[1:] = np.where(same, w[:-1], 0)
+    two[2:] = np.where(same[1:] & same[:-1], w[:-2], 0)
+    return mix((w * _A + one) * _B + two), line
+
+
 def fingerprints(texts: list[str]) -> Fingerprints:
     """Of whole texts; an empty text is one empty paragraph."""
     n = len(texts)
@@ -105,52 +138,63 @@ def fingerprints(texts: list[str]) -> Fingerprints:
     vectors = np.frombuffer(b"".join(digests), "<u8").reshape(-1, ID_LANES)
     ident = np.add.reduceat(vectors, np.cumsum(counts) - counts, axis=0) if n else vectors
     raw = np.frombuffer(b"".join(raws), np.uint8)
-    starts, ends, before = word_spans(raw, off)
     like = np.zeros((n, LIKE_LANES), np.uint32)
-    if len(starts):
+    if len(raw):
         raw = LOWER[raw]
-        starts, ends = pieces(raw, starts, ends)
-        before = np.searchsorted(starts, off)
-        w = hash_spans(raw, starts, ends)
-        line = np.cumsum(raw == 10)[starts]
-        doc = np.repeat(np.arange(n), np.diff(before))
-        one, two = np.zeros_like(w), np.zeros_like(w)
-        same = (line[1:] == line[:-1]) & (doc[1:] == doc[:-1])
-        one[1:] = np.where(same, w[:-1], 0)
-        two[2:] = np.where(same[1:] & same[:-1], w[:-2], 0)
-        f = mix((w * _A + one) * _B + two)
-        fresh = np.ones(len(f), bool)  # the k-th of equal triples in a row counts as one of its own
-        fresh[1:] = (f[1:] != f[:-1]) | ~same
-        place = np.arange(len(f))
-        f = mix(f + (place - np.maximum.accumulate(np.where(fresh, place, 0))).astype(np.uint64) * _A)
-        at = doc * LIKE_LANES + (f & np.uint64(LIKE_LANES - 1)).astype(np.int64)
-        sums = np.bincount(at, weights=np.where(f >> np.uint64(63), 1.0, -1.0), minlength=n * LIKE_LANES)
+        first = np.unique(np.concatenate([[0], np.flatnonzero(raw == 10) + 1, off[1:-1]]))  # where paragraphs begin
+        f, line = _word_features(raw, off, first)
+        order = np.lexsort((f, line))
+        f, line = f[order], line[order]
+        fresh = np.ones(len(f), bool)
+        fresh[1:] = (f[1:] != f[:-1]) | (line[1:] != line[:-1])
+        at = np.arange(len(f))
+        f = mix(f + (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(np.uint64) * _A)
+        doc = np.searchsorted(off, first[line], side="right") - 1
+        lane = doc * LIKE_LANES + (f & np.uint64(LIKE_LANES - 1)).astype(np.int64)
+        sums = np.bincount(lane, weights=np.where(f >> np.uint64(63), 1.0, -1.0), minlength=n * LIKE_LANES)
         like = sums.astype(np.int64).astype(np.uint32).reshape(n, LIKE_LANES)
     return Fingerprints(ident.astype(np.uint64), like)
 
 
-def with_next(docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
-    """Rows (shard, peek, doc_id, text) dealt so that each task holds a range of ids and the row after it.
+_PAIR = np.dtype([("id", np.int64), ("h", np.int64)])
 
-    Shards are ranges of ids that end at ids of the table; the row at a shard's upper end is sent to the shard
-    above as well, as the one to peek at, and the largest id's row to the lowest shard. Texts move once.
+
+def _pairs(ids, hashes) -> np.ndarray:
+    out = np.zeros(len(ids), _PAIR)
+    out["id"], out["h"] = ids, hashes
+    return out
+
+
+def with_next(docs: DataFrame, rows_per_shard: int | None = None) -> DataFrame:
+    """Rows (shard, peek, doc_id, h, text) dealt so that each task holds a range of (doc_id, h) and the row below it.
+
+    Shards are ranges between rows of a bounded look at the ids. The largest row of a shard is sent to the next shard above
+    as well, as the one to peek at, and the largest of all to the lowest shard. Texts move once. A null id is less
+    than any other.
     """
     spark = docs.sparkSession
     n = docs.count()
-    shards = max(1, min(20_000, n // rows_per_shard))
-    at = [i / shards for i in range(1, shards)] + [1.0]
-    ends = docs.select(F.percentile_approx("doc_id", at, 10 * shards + 1000).alias("e"), F.max("doc_id").alias("m")).first() if n else None
-    bounds = np.array(sorted({*ends["e"], ends["m"]}), np.int64) if n and ends["m"] is not None else np.zeros(1, np.int64)
-
-    def placed(ids: pd.Series) -> pd.Series:
-        v = ids.to_numpy(np.int64, na_value=bounds[0])
-        k = np.minimum(np.searchsorted(bounds, v), len(bounds) - 1)
-        end = bounds[k] == v
-        return pd.Series([[int(a), (int(a) + 1) % len(bounds)] if e else [int(a)] for a, e in zip(k, end, strict=True)])
-
-    place = F.pandas_udf(placed, "array<int>")
-    dealt = docs.select(F.posexplode(place("doc_id")).alias("peek", "shard"), "doc_id", "text")
-    return dealt.repartition(max(partitions(spark), -(-len(bounds) // 4)), "shard").sortWithinPartitions("shard", "peek", F.col("doc_id").desc(), "text")
+    keys = docs.select("doc_id", "h")
+    shards = max(1, min(MOST_SHARDS, n // (rows_per_shard or ROWS_PER_SHARD)))
+    part = min(1.0, LOOKED_AT * shards / max(1, n))
+    looked = keys.where((F.pmod(F.xxhash64("doc_id", "h"), F.lit(1 << 20)) < part * (1 << 20)) & F.col("doc_id").isNotNull()).limit(2 * LOOKED_AT * MOST_SHARDS).collect()
+    seen = np.sort(_pairs([r[0] for r in looked], [r[1] for r in looked]), order=("id", "h"))
+    bounds = np.unique(seen[np.linspace(0, len(seen), shards + 1).astype(int)[1:-1]]) if len(seen) else seen
+
+    def placed(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        v = _pairs(ids.fillna(-(2**63)).astype(np.int64), np.where(ids.isna(), -(2**63), hashes))
+        return pd.Series(np.searchsorted(bounds, v).astype(np.int32))
+
+    sharded = docs.withColumn("shard", F.pandas_udf(placed, "int")("doc_id", "h"))
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h")
+    tops = sorted(sharded.groupBy("shard").agg(F.max(key).alias("top")).select("shard", "top.doc_id", "top.h").collect())  # one row a shard
+    above = [(s, i, h, tops[(k + 1) % len(tops)][0]) for k, (s, i, h) in enumerate(tops)]
+    peeked = spark.createDataFrame(above, "of int, top_id long, top_h long, above int")
+    marked = sharded.join(F.broadcast(peeked), (F.col("shard") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("h") == F.col("top_h")), "left")
+    places = F.when(F.col("above").isNull(), F.array("shard")).otherwise(F.array("shard", "above"))
+    dealt = marked.select(F.posexplode(places).alias("peek", "shard"), "doc_id", "h", "text")
+    order = ["shard", "peek", F.col("doc_id").desc_nulls_last(), F.col("h").desc(), F.col("text").desc()]
+    return dealt.repartition(max(partitions(spark), -(-len(tops) // 4)), "shard").sortWithinPartitions(*order)
 
 
 def edited(text: str, following: str) -> str:
@@ -163,10 +207,11 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row a document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document is the one of the next smaller id; after the smallest comes the largest. Rows of one id
-    follow each other in the order of their texts. Null texts count as empty, null ids as the smallest id's
-    neighbours; a single document follows itself. Other columns are ignored.
+    follow each other in the order of a hash of their texts. Null texts count as empty; null ids come after the smallest
+    id; a single document follows itself. Other columns are ignored; an empty table gives an empty result.
     """
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    own = own.withColumn("h", F.when(F.col("doc_id").isNull(), -(2**63)).otherwise(F.xxhash64("text")))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     schema = pa.schema(list(zip(names, kinds, strict=True)))

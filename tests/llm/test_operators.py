@@ -424,6 +424,10 @@ def test_likeness_without_spaces_and_of_many_repeats():
         assert like(a, fingerprint.edited(a, b)) > 0.5 and like(a, b[:9] + a) > 0.9 and like(a, b) < 0.3
     assert like("a" * 20_000, "a" * 15_000 + "b" * 5000) > 0.5
     assert abs(like("x y z\n" * 40_000, "x y z\n" * 20_000) - 0.8) < 0.01
+    words = [f"w{i}" for i in range(600)]
+    lines = lambda a, b: "\n".join(" ".join(words[i : i + 10]) for i in range(a, b, 10))
+    spam = "\nbuy now, buy here" * 80  # one paragraph many times does not outweigh the rest
+    assert like(lines(0, 450) + spam, lines(0, 450)) > 0.6 and like(lines(0, 450), lines(150, 600) + spam) > 0.25  # of 0.74 and 0.49; squares gave 0.03
     long, other = "".join(rng.choices("abc", k=300)), "".join(rng.choices("xyz", k=300))
     x, y, both = (fingerprint.fingerprints([t]) for t in (long, other, f"{long}\n{other}"))
     assert (x + y).strings() == both.strings()
@@ -443,9 +447,46 @@ def test_fingerprint_documents(spark, edges, empty):
     assert len(same) == 1 and fingerprint.fingerprint_documents(empty).count() == 0
 
 
+def triples(text):
+    out = Counter()
+    for line in text.lower().split("\n"):
+        w = line.split()
+        out.update(tuple(w[max(0, i - 2) : i + 1]) for i in range(len(w)))
+    return out
+
+
+def test_likeness_against_exact_shares(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy(F.desc("doc_id")).select("text").collect()
+    texts = [r["text"] or "" for r in rows]
+    new = [fingerprint.edited(a, b) for a, b in zip(texts, texts[1:] + texts[:1])]
+    off = []
+    for k in range(0, len(texts), 500):
+        near = fingerprint.likeness(fingerprint.fingerprints(texts[k : k + 500]), fingerprint.fingerprints(new[k : k + 500]))
+        for a, b, got in zip(texts[k : k + 500], new[k : k + 500], near, strict=True):
+            x, y = triples(a), triples(b)
+            if x and y:
+                share = 2 * (x & y).total() / (x.total() + y.total())
+                kinds = 2 * len(x.keys() & y.keys()) / (len(x) + len(y))
+                assert got >= 0.4 or max(share, kinds) < 0.6
+                off.append(got - share)
+    assert abs(np.mean(off)) < 0.01 and np.std(off) < 0.05
+
+
+def test_fingerprints_of_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "ROWS_PER_SHARD", 2)
+    rows = [(5, "one two"), (5, "one two"), (None, "of none"), (None, None), (2, "three four five"), (9, "six"), (7, ""), (1, "x"), (0, "y z")]
+    docs = table(spark, [(i, t, None, None) for i, t in rows])
+    got = fingerprint.fingerprint_documents(docs).collect()
+    assert len(got) == len(rows) and sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
+    by = {r["doc_id"]: r["edited_sha256"] for r in got if r["doc_id"] is not None}
+    sha = lambda a, b: hashlib.sha256(fingerprint.edited(a, b).encode()).hexdigest()
+    assert by[9] == sha("six", "") and by[2] == sha("three four five", "x") and by[1] == sha("x", "y z")
+    assert {r["edited_sha256"] for r in got if r["doc_id"] == 5} == {sha("one two", "one two"), sha("one two", "three four five")}
+
+
 def test_shards_with_their_neighbours(spark):
     rows = [(i * 3, f"text {i}", None, None) for i in range(300)]
-    docs = table(spark, rows).select("doc_id", "text")
+    docs = table(spark, rows).select("doc_id", "text", F.xxhash64("text").alias("h"))
     for size in (7, 1000):
         dealt = fingerprint.with_next(docs, size).collect()
         assert Counter(r["peek"] for r in dealt)[0] == 300
