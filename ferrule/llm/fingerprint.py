@@ -177,7 +177,7 @@ def with_next(docs: DataFrame, rows_per_shard: int | None = None) -> DataFrame:
     keys = docs.select("doc_id", "h")
     shards = max(1, min(MOST_SHARDS, n // (rows_per_shard or ROWS_PER_SHARD)))
     part = min(1.0, LOOKED_AT * shards / max(1, n))
-    looked = keys.where((F.pmod(F.xxhash64("doc_id", "h"), F.lit(1 << 20)) < part * (1 << 20)) & F.col("doc_id").isNotNull()).limit(2 * LOOKED_AT * MOST_SHARDS).collect()
+    looked = keys.where((F.pmod(F.xxhash64("doc_id", "h"), F.lit(1 << 20)) < part * (1 << 20)) & F.col("doc_id").isNotNull()).distinct().collect()  # about LOOKED_AT rows a shard
     seen = np.sort(_pairs([r[0] for r in looked], [r[1] for r in looked]), order=("id", "h"))
     bounds = np.unique(seen[np.linspace(0, len(seen), shards + 1).astype(int)[1:-1]]) if len(seen) else seen
 

@@ -140,42 +140,61 @@ def _draw(rng: np.random.Generator, have: np.ndarray, n: int) -> np.ndarray:
     out, rest, todo = np.zeros_like(have), int(have.sum()), int(n)
     for i, k in enumerate(have.tolist()):
         rest -= k
-        if rest + k < 10**9:
-            out[i] = rng.hypergeometric(k, rest, todo) if k and todo else 0
-        else:  # beyond the library's range: the binomial limit, kept feasible
-            out[i] = min(k, todo, max(todo - rest, rng.binomial(todo, k / (rest + k)) if todo else 0))
+        out[i] = hypergeometric(rng, k, rest, todo)
         todo -= int(out[i])
     return out
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n out of good + bad are good, for numbers of any size: one uniform number through the distribution's
+    inverse. The probabilities follow from their ratios, from the mode out to 12 deviations and 40 more (all but about
+    10^-30 of the mass)."""
+    lo, hi, total = max(0, n - bad), min(good, n), good + bad
+    if lo >= hi:
+        return lo
+    mode = min(hi, max(lo, (n + 1) * (good + 1) // (total + 2)))
+    reach = int(12 * math.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1)))) + 40
+    up = np.arange(mode, min(hi, mode + reach), dtype=np.float64)
+    down = np.arange(mode, max(lo, mode - reach), -1, dtype=np.float64)
+    rise = np.exp(np.cumsum(np.log((good - up) * (n - up) / ((up + 1) * (bad - n + up + 1)))))
+    fall = np.exp(np.cumsum(np.log(down * (bad - n + down) / ((good - down + 1) * (n - down + 1)))))
+    mass = np.cumsum(np.concatenate([fall[::-1], [1.0], rise]))
+    return mode - len(fall) + min(int(np.searchsorted(mass, rng.random() * mass[-1], side="right")), len(mass) - 1)
+
+
 class Mix:
     """A planned mix over ``docs``: ``sources``, ``pieces``, ``slots``, ``taken``, ``texts``."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, weights=WEIGHTS, scale: float = SCALE, repeat: float = REPEAT) -> None:
         self.spark: SparkSession = docs.sparkSession
         self.block, self.shard_slots, self.seed = block_words, shard_slots, seed
-        own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), words(docs[text_col]).alias("size"))
+        self._docs, self._names = docs, (id_col, text_col, source_col)
+        own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), words(docs[text_col]).alias("size"), self._hash(docs).alias("h"))
         chunks = max(partitions(self.spark), 16)
-        self._sizes = stored(own.repartitionByRange(chunks, "doc_id").withColumn("chunk", F.spark_partition_id()), "sizes")
+        self._sizes = stored(own.repartitionByRange(chunks, "doc_id", "size", "h").withColumn("chunk", F.spark_partition_id()), "sizes")
         totals = self._sizes.groupBy("source").agg(F.sum("size").alias("size")).collect()  # one row a source
         named = sorted(((r["source"], r["size"]) for r in totals), key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8", "surrogatepass")))
         goals = targets([s for _, s in named], weights, scale, repeat)
         self.sources = [Source(i, name, size, goal, *_slots(size, goal, block_words, source_key(name, seed))) for i, ((name, size), goal) in enumerate(zip(named, goals, strict=True))]
 
+    def _hash(self, docs: DataFrame) -> Column:
+        return F.xxhash64(docs[self._names[1]].cast("string"))
+
     def source_table(self) -> DataFrame:
         rows = [(s.index, s.name, s.size, float(s.target)) for s in self.sources]
         return self.spark.createDataFrame(rows, "source_index int, source string, source_size long, target double")
 
     def documents(self) -> DataFrame:
-        """(doc_id, source_index, source_size, target, size, start): start is the document's first word in its source."""
-        within = Window.partitionBy("chunk", "source").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+        """(doc_id, source_index, source_size, target, size, start, h): start is the document's first word in its source,
+        h a hash of its text."""
+        within = Window.partitionBy("chunk", "source").orderBy("doc_id", "size", "h").rowsBetween(Window.unboundedPreceding, -1)
         over = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         sums = self._sizes.groupBy("chunk", "source").agg(F.sum("size").alias("s")).select("chunk", "source", F.coalesce(F.sum("s").over(over), F.lit(0)).alias("base"))
         local = self._sizes.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
         s, t = sums.alias("s"), self.source_table().alias("t")
         joined = local.join(s, (local["chunk"] == F.col("s.chunk")) & local["source"].eqNullSafe(F.col("s.source")))
         joined = joined.join(F.broadcast(t), local["source"].eqNullSafe(F.col("t.source")))  # one row a source
-        return joined.select(local["doc_id"], "source_index", "source_size", "target", local["size"], (F.col("base") + F.col("ahead")).alias("start"))
+        return joined.select(local["doc_id"], "source_index", "source_size", "target", local["size"], (F.col("base") + F.col("ahead")).alias("start"), local["h"])
 
     def pieces(self) -> DataFrame:
         """Documents cut at the block borders: block, first word within the document, number of words. A document
@@ -225,13 +244,26 @@ class Mix:
         empty = self.documents().where("size = 0").select(*[c for c in by if c != "start"], F.lit(0).cast("long").alias("taken"))
         return whole.unionByName(empty).select("doc_id", "size", "source_size", "target", "taken")
 
-    def texts(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """``docs`` as the mix takes them: a row for each time that the mix goes through a document, its text the
-        words drawn in that round (the text itself if all are). Documents not drawn have no row."""
-        rounds = self.drawn().groupBy("doc_id", "epoch", "size").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("cut"))
-        cut = rounds.select("doc_id", F.when(F.aggregate("cut", F.lit(0).cast("long"), lambda a, x: a + x["n"]) < F.col("size"), F.col("cut")).alias("cut"))
+    def texts(self) -> DataFrame:
+        """The documents as the mix takes them: a row for each time that the mix goes through a document, its text the
+        words drawn in that round (the text itself if all are). Documents not drawn have no row. Rows that share an id
+        (or have none) are documents of their own: they are told apart by source, text and number."""
+        id_col, text_col, source_col = self._names
+        by = ["doc_id", "source_index", "h", "start"]
+        rounds = self.drawn().groupBy(*by, "epoch", "size").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("cut"))
+        cut = rounds.select(*by, F.when(F.aggregate("cut", F.lit(0).cast("long"), lambda a, x: a + x["n"]) < F.col("size"), F.col("cut")).alias("__cut"))
+        docs = self._docs
         columns = docs.columns
-        joined = docs.join(cut.withColumnRenamed("doc_id", "__id").withColumnRenamed("cut", "__cut").hint("merge"), docs[id_col] == F.col("__id")).drop("__id")
+        if self._sizes.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+            joined = docs.join(cut.select(F.col("doc_id").alias("__id"), "__cut").hint("merge"), docs[id_col] == F.col("__id"))
+        else:
+            number = F.dense_rank().over(Window.partitionBy("doc_id", "source_index", "h").orderBy("start"))
+            names = self.source_table().select("source_index", F.col("source").alias("__source"))
+            right = cut.withColumn("__copy", number).join(F.broadcast(names), "source_index").select(F.col("doc_id").alias("__id"), "__source", F.col("h").alias("__h"), "__copy", "__cut")
+            keys = [docs[id_col].cast("long"), docs[source_col].cast("string"), self._hash(docs)]
+            left = docs.withColumn("__hash", keys[2]).withColumn("__number", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
+            same = left[id_col].cast("long").eqNullSafe(F.col("__id")) & left[source_col].cast("string").eqNullSafe(F.col("__source"))
+            joined = left.join(right.hint("merge"), same & (F.col("__hash") == F.col("__h")) & (F.col("__number") == F.col("__copy")))
         split = F.filter(F.split(F.col(text_col), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
         drawn_words = F.flatten(F.transform("__cut", lambda c: F.slice("__words", (c["word"] + 1).cast("int"), c["n"].cast("int"))))
         part = joined.withColumn("__words", F.when(F.col("__cut").isNotNull(), split))
@@ -243,7 +275,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """One row for each row of ``docs``: doc_id, size, source_size, target, taken.
 
     Null text has size 0 and is never taken; null sources are one source, the last. Rows repeated with one id are
-    documents of their own. An empty table gives an empty result. Other columns are ignored. The same rows give
+    documents of their own, null ids come first. An empty table gives an empty result. Other columns are ignored. The same rows give
     the same mix, however they are partitioned.
     """
     return Mix(docs, **options).taken()

@@ -307,11 +307,57 @@ def test_mix(spark, edges, empty, small):
     mix = mixing.Mix(docs)
     taken = {r["doc_id"]: r["taken"] for r in mix.taken().collect()}
     words = Counter()
-    for r in mix.texts(docs).collect():
+    for r in mix.texts().collect():
         words[r["doc_id"]] += len(r["text"].split())
     assert all(words[i] == n for i, n in taken.items())
 
 
+def test_hypergeometric_is_exact_at_any_size():
+    import math
+
+    rng = np.random.default_rng(1)
+    for good, bad, n in ((7, 9, 5), (3, 40, 20), (50, 2, 30), (1, 1, 1), (0, 5, 3), (5, 0, 3)):
+        got = Counter(mixing.hypergeometric(rng, good, bad, n) for _ in range(20_000))
+        for x in range(max(0, n - bad), min(good, n) + 1):
+            p = math.comb(good, x) * math.comb(bad, n - x) / math.comb(good + bad, n)
+            assert abs(got[x] / 20_000 - p) < 5 * (p / 20_000) ** 0.5 + 1e-3
+    good, bad, n = 3 * 10**9, 10**10, 5 * 10**9
+    total = good + bad
+    mean, sd = n * good / total, (n * (good / total) * (bad / total) * (total - n) / (total - 1)) ** 0.5
+    x = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(200)])
+    assert abs(x.mean() - mean) < 5 * sd / 200**0.5 and 0.8 < x.std() / sd < 1.2
+
+
+def test_taken_equals_slots_and_pieces_by_hand(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    mix = mixing.Mix(docs, block_words=16, shard_slots=64)
+    reads = Counter((r["source_index"], r["block"]) for r in mix.slots().collect())
+    by = defaultdict(list)
+    for r in docs.collect():
+        by[r["source"]].append((r["doc_id"], len([w for w in re.split("[\\x20\\x09-\\x0D]+", r["text"] or "") if w])))
+    want = {}
+    for k, name in enumerate(sorted(by, key=lambda x: (x is None, x or ""))):
+        at = 0
+        for i, size in sorted(by[name]):
+            want[i] = sum(reads[(k, word // 16)] for word in range(at, at + size))
+            at += size
+    assert {r["doc_id"]: r["taken"] for r in mix.taken().collect()} == want
+
+
+def test_mix_texts_of_repeated_ids(spark):
+    rows = [(1, " ".join(f"{x}{i}" for i in range(n)), None, s) for x, n, s in (("a", 90, "s"), ("b", 90, "s"), ("b", 90, "s"), ("c", 50, None), ("d", 90, "t"))]
+    rows += [(None, rows[0][1], None, "s"), (2, None, None, "s"), (3, "", None, None)]
+    mix = mixing.Mix(table(spark, rows), block_words=8, shard_slots=4)
+    taken = sorted((str(r["doc_id"]), r["taken"]) for r in mix.taken().collect())
+    texts = mix.texts().collect()
+    assert len(taken) == len(rows) and sum(n for _, n in taken) == sum(len(r["text"].split()) for r in texts)
+    sizes = Counter()
+    for r in texts:
+        sizes[(r["doc_id"], r["source"], r["text"][0])] += len(r["text"].split())
+    most = {(i, s, t[0]): 2 * len(t.split()) * (2 if t[0] == "b" else 1) for i, t, _, s in rows if t}
+    assert all(n <= most[k] for k, n in sizes.items())
+
+
 def brute(rows):
     sets = {}
     for i, t in rows:
@@ -675,7 +721,7 @@ def test_pipeline_is_the_whole_of_its_stages(spark, small, ranks):
     assert 0 < len(stay) < len(one) < docs.count()
     left = docs.where(F.col("doc_id").isin(stay))
     mix = mixing.Mix(left)
-    want = Counter((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in mix.texts(left).collect())
+    want = Counter((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in mix.texts().collect())
     got = corpus_pipeline.run(spark, small).collect()
     assert Counter((r["doc_id"], r["decoded_sha256"]) for r in got) == want
     whole = tiktoken_of(ranks)
