@@ -56,7 +56,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in their target weights: a row for each time the mix goes through a document, with the words it takes."""
-    mixed = mixing.Mix(docs).texts(docs)
+    mixed = mixing.Mix(docs).texts()
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
