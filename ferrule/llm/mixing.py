@@ -17,6 +17,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -125,9 +126,7 @@ def shard_counts(quota: np.ndarray, total: int, shard: int, shard_slots: int, se
     have, before = quota.copy(), np.zeros_like(quota)
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        n = mid * shard_slots - lo * shard_slots
-        rng = np.random.default_rng([seed, lo, hi])
-        left = _draw(rng, have, n)
+        left = np.array(_left(seed, lo, hi, tuple(have.tolist()), (mid - lo) * shard_slots), np.int64)
         if shard < mid:
             have, hi = left, mid
         else:
@@ -135,6 +134,12 @@ def shard_counts(quota: np.ndarray, total: int, shard: int, shard_slots: int, se
     return have, before
 
 
+@lru_cache(maxsize=128)
+def _left(seed: int, lo: int, hi: int, have: tuple[int, ...], n: int) -> list[int]:
+    """The draw at one node of the tree; neighbouring shards share most of theirs."""
+    return _draw(np.random.default_rng([seed, lo, hi]), np.array(have, np.int64), n).tolist()
+
+
 def _draw(rng: np.random.Generator, have: np.ndarray, n: int) -> np.ndarray:
     """n slots out of ``have`` without replacement: a multinomial conditioned on the totals."""
     out, rest, todo = np.zeros_like(have), int(have.sum()), int(n)
