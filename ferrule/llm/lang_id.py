@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.llm.common import SPACE, text_buffer, text_slices, tidy
@@ -151,9 +151,10 @@ class ByteGru:
         return out / np.maximum(weight, 1)[:, None]
 
 
-def sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, segments_per_doc: int = SEGMENTS_PER_DOC) -> list[tuple[str, bytes]]:
+def sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, segments_per_doc: int = SEGMENTS_PER_DOC) -> list[tuple[str, bytes, int]]:
     """Labelled segments for training: about ``docs_per_lang`` documents of each language (chosen by a hash of
-    their ids, at most twice that many), not held out, ``segments_per_doc`` segments of each over its whole text."""
+    their ids, at most twice that many), not held out, ``segments_per_doc`` segments of each over its whole text.
+    Equal rows count once."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not counts:
@@ -175,21 +176,20 @@ def sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, segments_per_doc
                         keys.append(i * segments_per_doc + k)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(segs, pa.binary()), pa.array(keys, pa.int64())], names=["lang", "seg", "key"])
 
-    rows = known.where(spread < limit).select("doc_id", "lang", "text").mapInArrow(cut, "lang string, seg binary, key long").collect()
-    rows.sort(key=lambda r: (r["lang"], r["key"], bytes(r["seg"])))
-    most, out = 2 * docs_per_lang * segments_per_doc, []
-    for lang in sorted(counts):
-        out += [(lang, bytes(r["seg"])) for r in rows if r["lang"] == lang][:most]
-    return out
+    segments = known.where(spread < limit).select("doc_id", "lang", "text").mapInArrow(cut, "lang string, seg binary, key long").distinct()
+    most = 2 * docs_per_lang * segments_per_doc
+    first = segments.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key", "seg"))).where(F.col("place") <= most)
+    return sorted((r["lang"], bytes(r["seg"]), r["key"]) for r in first.collect())
 
 
-def train(samples: list[tuple[str, bytes]], steps: int = STEPS) -> ByteGru | None:
-    langs = sorted({x for x, _ in samples})
+def train(samples: list[tuple[str, bytes, int]], steps: int = STEPS) -> ByteGru | None:
+    samples = sorted(samples, key=lambda x: (x[0], x[2], x[1]))
+    langs = sorted({x for x, *_ in samples})
     if not langs:
         return None
     net = ByteGru(langs)
-    seg = np.frombuffer(b"".join(s for _, s in samples), np.uint8).reshape(-1, SEGMENT)
-    net.fit(seg, np.array([langs.index(x) for x, _ in samples]), steps)
+    seg = np.frombuffer(b"".join(s for _, s, _ in samples), np.uint8).reshape(-1, SEGMENT)
+    net.fit(seg, np.array([langs.index(x) for x, *_ in samples]), steps)
     return net
 
 

@@ -6,7 +6,8 @@ for a ratio to mean something, and a line ``min_hits``.
 
 Counts are combined in the tasks before the exchange and dealt by host and line, so neither a host of a third of all
 pages nor a line of every page meets in one task. A host has at most (lines a page) / ratio boilerplate lines, so
-its list is short; it is joined to the pages, whose texts do not move if all lists together are small.
+its list is short; it is joined to the pages, whose texts do not move if all lists together are small. Else pages meet
+their host's list; those of a host with more than 1 / HOT of all pages are dealt over several places.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from ferrule.llm.common import stored
 RATIO, MIN_PAGES, MIN_HITS = 0.3, 5, 3
 #: Boilerplate lines of all hosts (16 bytes each) up to which their lists are broadcast.
 BROADCAST_LINES = 1_000_000
+#: A host has one place for each 1 / HOT of all pages; fewer than HOT hosts have several.
+HOT = 1000
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/:?#]+)"
 SKIPPED = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
@@ -53,11 +56,22 @@ def drop_boilerplate(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     its copies go or stay. Repeated rows count as pages of their own. Other columns are ignored.
     """
     own = pages.select(pages[id_col].cast("long").alias("page_id"), host_of(pages[url_col]).alias("host"), lines_of(pages[html_col]).alias("lines"))
-    found = stored(boilerplate(own, ratio, min_pages, min_hits).select("host", "digest"), "lines")
+    found = stored(boilerplate(own, ratio, min_pages, min_hits).select("host", "digest", "pages"), "lines")
     n = found.count()
-    lists = found.groupBy("host").agg(F.collect_list("digest").alias("drop"))
-    joined = own.join(F.broadcast(lists) if n <= broadcast_lines else lists, "host", "left")
-    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("drop", _digest(x))))
+    lists = found.groupBy("host").agg(F.collect_list("digest").alias("drop"), F.max("pages").alias("pages"))
+    if n <= broadcast_lines:
+        joined = own.join(F.broadcast(lists.select("host", "drop")), "host", "left")
+    else:
+        total = pages.count()
+        places = F.ceil(F.col("pages") * HOT / F.lit(total)).cast("int")
+        lists = lists.withColumn("places", places).withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1)))
+        hot = lists.where("places > 1 AND place = 0").select(F.col("host").alias("hot"), F.col("places").alias("of"))  # fewer than HOT rows
+        dealt = own.join(F.broadcast(hot), F.col("host") == F.col("hot"), "left").withColumn("place", F.pmod(F.xxhash64("page_id", "lines"), F.coalesce("of", F.lit(1))).cast("int"))
+        joined = dealt.join(lists.select("host", "place", "drop").hint("merge"), ["host", "place"], "left")
+    # the few digests that the page shares with its host's list, by a hash set; lines are compared with these only
+    gone = F.array_intersect(F.transform("lines", _digest), "drop")
+    joined = joined.withColumn("gone", F.when(F.col("drop").isNotNull(), gone))
+    kept = F.when(F.coalesce(F.size("gone"), F.lit(0)) <= 0, F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("gone", _digest(x))))
     return joined.select("page_id", "host", "lines", kept.alias("kept")).select(
         "page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text")
     )

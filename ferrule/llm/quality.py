@@ -6,8 +6,10 @@ of its form (shares of punctuation, capitals, repeated words, digits ...). One w
 grades, gives a score s; ordered thresholds t1 < t2 cut it: P(grade >= k) = sigmoid(s - tk). From these follow the
 expected grade and the tail probability P(grade >= 2), by which documents are selected.
 
-The fit uses at most ``sample_docs`` labelled documents, chosen by a hash of their ids; words seen in fewer than
-MIN_DOCS of them, or with no grade whose chi-square with the word reaches ASSOCIATION, have no weight. Every whole text is scored.
+The fit uses at most ``sample_docs`` labelled documents, those with the smallest hashes of their ids. Words seen in fewer
+than MIN_DOCS of them, or with no grade whose chi-square with the word reaches ASSOCIATION, have no weight, nor any
+beyond the MOST_FEATURES most associated; they are counted where the documents are, so the driver gets MOST_FEATURES
+numbers a document at most. Every whole text is scored.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import LOWER, SPACE, hash_spans, text_buffer, text_slices
+from ferrule.llm.common import LOWER, SPACE, discard, hash_spans, stored, text_buffer, text_slices
 
 BUCKETS, SAMPLE_DOCS, MIN_DOCS, STEPS, PENALTY, GRADES = 1 << 18, 12_000, 3, 250, 5e-4, 3
 #: Chi-square of a word with a grade, below which the word is taken for noise.
 ASSOCIATION = 20.0
+MOST_FEATURES = 8192
+FORMS = 1024  # buckets of measures of form, ahead of those of words
 KEEP_AT = 0.5
 
 _WORD = np.zeros(256, bool)
@@ -69,7 +73,7 @@ def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pairs = np.concatenate([[False], punct[1:] & punct[:-1]])
         shares = [per_doc(punct) / chars, per_doc(pairs) / chars, per_doc(_UPPER[raw]) / letters, per_doc(_DIGIT[raw]) / chars, per_word(again) / words, per_doc(raw == 124) / words, per_doc(raw == 10) / words]
         form = np.stack([np.searchsorted(_LEVELS, s, side="right") + 32 * k for k, s in enumerate(shares)], axis=1)
-    word_ids = (h % np.uint64(BUCKETS - 1024)).astype(np.int64) + 1024
+    word_ids = (h % np.uint64(BUCKETS - FORMS)).astype(np.int64) + FORMS
     out, sizes = [], np.zeros(docs + 1, np.int64)
     for i in range(docs):
         v = np.concatenate([form[i], np.unique(word_ids[before[i] : before[i + 1]])])
@@ -97,17 +101,10 @@ class Ordinal:
         """P(grade >= k) for k = 1, 2, ..."""
         return 1 / (1 + np.exp(-np.clip(s[:, None] - self.thresholds, -40, 40)))
 
-    def fit(self, idx: np.ndarray, off: np.ndarray, grade: np.ndarray, steps: int = STEPS) -> None:
+    def fit(self, idx: np.ndarray, off: np.ndarray, grade: np.ndarray, known: np.ndarray, steps: int = STEPS) -> None:
+        """Weights of the ``known`` features, by gradient ascent on the balanced likelihood."""
         n = len(grade)
-        seen = np.bincount(idx, minlength=BUCKETS)
         doc = np.repeat(np.arange(n), np.diff(off))
-        chi = np.zeros(BUCKETS)
-        for k in range(len(self.gaps) + 1):
-            own = (grade == k).astype(float)
-            p = own.mean()
-            spread = seen * p * (1 - p) * (1 - seen / n)
-            chi = np.maximum(chi, (np.bincount(idx, weights=own[doc], minlength=BUCKETS) - seen * p) ** 2 / np.maximum(spread, 1e-9) * (spread > 0))
-        known = np.flatnonzero(((seen >= MIN_DOCS) & (chi >= ASSOCIATION)) | ((np.arange(BUCKETS) < 1024) & (seen > 0)))
         place = np.full(BUCKETS, -1)
         place[known] = np.arange(len(known))
         use = place[idx] >= 0
@@ -139,6 +136,20 @@ class Ordinal:
         self.first, self.gaps = float(theta[0]), theta[1:]
 
 
+def selected(seen: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Features worth a weight. ``seen``: documents of each grade with each feature; ``total``: documents of each grade."""
+    n, each = total.sum(), seen.sum(0)
+    chi = np.zeros(seen.shape[1])
+    for own, size in zip(seen, total, strict=True):
+        p = size / max(n, 1)
+        spread = each * p * (1 - p) * (1 - each / max(n, 1))
+        chi = np.maximum(chi, (own - each * p) ** 2 / np.maximum(spread, 1e-9) * (spread > 0))
+    use = ((each >= MIN_DOCS) & (chi >= ASSOCIATION)) | ((np.arange(len(chi)) < FORMS) & (each > 0))
+    rank = np.where(np.arange(len(chi)) < FORMS, np.inf, chi)
+    known = np.flatnonzero(use)
+    return np.sort(known[np.argsort(-rank[known], kind="stable")[:MOST_FEATURES]])
+
+
 def grades(labels: DataFrame) -> DataFrame:
     """(doc_id, grade) of labels (doc_id, quality, toxic); rows without both are left out, of several the lowest grade counts."""
     of = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1)
@@ -150,8 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     n = rated.count()
     if not n:
         return None
-    spread = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)).cast("double") / float(1 << 20)
-    chosen = rated.where(spread < min(1.0, 0.9 * sample_docs / n)).limit(sample_docs)  # the documented bound of the fit
+    chosen = rated.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample_docs)  # the documented bound of the fit
+    chosen = stored(chosen, "rated")
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,20 +172,48 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
                 sets = [idx[a:b].astype("<i4").tobytes() for a, b in zip(off, off[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array(sets, pa.binary())], names=["doc_id", "grade", "set"])
 
-    got = sorted((r["doc_id"], r["grade"], bytes(r["set"])) for r in rows.mapInArrow(run, "doc_id long, grade int, set binary").collect())
-    if not got:
+    sets = rows.mapInArrow(run, "doc_id long, grade int, set binary").groupBy("doc_id", "grade").agg(F.min("set").alias("set"))  # one row an id
+    sets = stored(sets, "features")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((GRADES, BUCKETS), np.int64)
+        for batch in batches:
+            for g, raw in zip(batch.column("grade").to_pylist(), batch.column("set"), strict=True):
+                seen[g, np.frombuffer(raw.as_buffer(), "<i4")] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen.ravel()[at])], names=["at", "n"])
+
+    counts = sets.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # GRADES * BUCKETS rows at most
+    seen = np.zeros(GRADES * BUCKETS, np.int64)
+    seen[counts.column("at").to_numpy()] = counts.column("n").to_numpy()
+    total = np.zeros(GRADES, np.int64)
+    for r in sets.groupBy("grade").count().collect():
+        total[r["grade"]] = r["count"]
+    if not total.sum():
         return None
-    sets = [np.frombuffer(s, "<i4") for _, _, s in got]
+    known = selected(seen.reshape(GRADES, BUCKETS), total)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = np.zeros(BUCKETS, bool)
+        use[known] = True
+        for batch in batches:
+            own = [np.frombuffer(raw.as_buffer(), "<i4") for raw in batch.column("set")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array([v[use[v]].tobytes() for v in own], pa.binary())], names=["doc_id", "grade", "set"])
+
+    got = sorted((r["doc_id"], r["grade"], bytes(r["set"])) for r in sets.mapInArrow(keep, "doc_id long, grade int, set binary").collect())
+    discard(sets, chosen)
+    few = [np.frombuffer(s, "<i4") for _, _, s in got]
     model = Ordinal()
-    model.fit(np.concatenate(sets).astype(np.int64), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), np.array([g for _, g, _ in got]))
+    model.fit(np.concatenate(few).astype(np.int64), np.concatenate([[0], np.cumsum([len(s) for s in few])]), np.array([g for _, g, _ in got]), known)
     return model
 
 
 def grade(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
     """One row for each row of ``docs``: doc_id, expected_grade, p_toxic, p_good, kept (p_good >= keep_at).
 
-    Null text counts as empty. Without labels the grades are null and every document is kept. Other columns are
-    ignored; an empty table gives an empty result.
+    Null text counts as empty. Without labels the grades are null and every document is kept. Of rows that share a
+    labelled id one is learned from, and each is graded by its own text; a null id is never learned from. Other columns
+    are ignored; an empty table gives an empty result.
     """
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     model = train(own, labels.select(labels["doc_id"].cast("long").alias("doc_id"), "quality", "toxic"))

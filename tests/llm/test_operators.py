@@ -571,10 +571,24 @@ def test_quality(spark, edges, empty):
     assert sum(x["kept"] == (x["quality"] == 1 and x["toxic"] == 0) for x in r) / len(r) > 0.95
     assert quality.grade(edges, labels.where("false")).where("kept").count() == len(EDGES)
     assert quality.grade(empty, labels).count() == 0
+    assert quality.grade(docs.where("doc_id < 300").withColumn("key", F.lit(1)), labels.where("doc_id < 300")).count() == docs.where("doc_id < 300").count()
     odd = labels.unionByName(spark.createDataFrame([(4, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").select(*[F.col(c).cast(t) for c, t in labels.dtypes]))
     assert quality.grade(edges, odd).count() == len(EDGES)
 
 
+def test_quality_of_repeats_and_ties(spark):
+    rows = [(i % 40, ("good words of a kind here " if i % 2 else "poor stuff junk zzz ") * 6 + f"n{i % 40}", None, None) for i in range(200)] + [(None, "good words", None, None)] * 3
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(7, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality.grade(table(spark, rows), labels).collect()
+    assert len(got) == len(rows) and all(r["kept"] == (r["doc_id"] % 2 == 1) for r in got if r["doc_id"] is not None)
+    assert len({round(r["expected_grade"], 9) for r in got if r["doc_id"] == 3}) == 1
+
+
+def test_languages_of_repeated_rows(spark):
+    rows = [(1, "the quick brown fox is here", "en", None)] * 5000 + [(2 + i, f"der schnelle fuchs ist da {i}", "de", None) for i in range(50)]
+    assert len(lang_id.sample(table(spark, rows), docs_per_lang=4)) <= 4 * 4 * 2 * 2
+
+
 PAGE = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies, as ever.</div>
 <article><header>by</header><h1>A &lt;title&gt;</h1><p>First, with <b>bold</b>\n text &amp; more.<p>Second<br>line.</p><form>mail<input></form><ul><li>one<li>two</ul></article>
 <section id="comments"><p>I like this, really. So much, so well.</p></section><aside>More</aside><footer>&copy; 1</footer></body>"""
@@ -675,9 +689,11 @@ def test_pages(spark, small):
 def test_line_dedup(spark):
     rows = [(i, f"https://H.example/{i}", f"<nav>Menu</nav><p>own {i}</p><p>own {i}</p><style>x</style>" + ("<p>some</p>" if i < 3 else ""), "k") for i in range(10)]
     rows += [(50, "https://few.example/", "<nav>Menu</nav>", "k")]
+    rows += [(60 + i, "https://x.example/", "<p>again</p>", "k") for i in range(3)] + [(None, "https://x.example/", "<p>again</p>", "k")] * 3
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
     for limit in (0, 10**6):
         got = {r["page_id"]: (r["host"], r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.drop_boilerplate(pages, broadcast_lines=limit).collect()}
+        assert got[60] == ("x.example", 1, 1, "") and got[None] == ("x.example", 1, 1, "")
         assert got[0] == ("h.example", 4, 1, "own 0\nown 0\nsome") and got[50] == ("few.example", 1, 0, "Menu")
 
 
