@@ -24,7 +24,7 @@ BROADCAST_LINES = 1_000_000
 HOT = 1000
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/:?#]+)"
-SKIPPED = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
+SKIPPED = r"(?is)<(?:script\b.*?</script>|style\b.*?</style>|!--.*?-->)"
 EDGES = r"^[ \t\r]+|[ \t\r]+$"
 
 
@@ -34,7 +34,7 @@ def host_of(url: Column) -> Column:
 
 def lines_of(html: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(F.coalesce(html.cast("string"), F.lit("")), SKIPPED, "\n"), "<[^>]*>", "\n")
-    return F.filter(F.transform(F.split(bare, "\n"), lambda x: F.regexp_replace(x, EDGES, "")), lambda x: x != "")
+    return F.filter(F.transform(F.split(bare, "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")
 
 
 def _digest(line: Column) -> Column:
