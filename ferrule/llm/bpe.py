@@ -23,11 +23,13 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ferrule.llm.common import text_slices, tidy
 
+#: Such places of the known pattern; another pattern needs its own.
 SETTLED = re.compile(r"(?<=[A-Za-z])(?=[\x00-\x7f])(?![A-Za-z])|(?<=[0-9])(?=[\x00-\x7f])(?![0-9])|(?<=\S)(?=[ \t\n\r])")
 LEAF_CHARS = 4096
 LEAF_IDS = 4096
@@ -36,8 +38,8 @@ LEAF_IDS = 4096
 class TreeBpe:
     """``encode``/``decode`` by tree reduction. ``leaf`` gives the ids of a short text encoded alone."""
 
-    def __init__(self, leaf: Callable[[str], list[int]], token: Callable[[int], bytes], leaf_chars: int = LEAF_CHARS, window: int = 32) -> None:
-        self._leaf, self._token, self._size, self._window = leaf, token, max(1, leaf_chars), max(1, window)
+    def __init__(self, leaf: Callable[[str], list[int]], token: Callable[[int], bytes], leaf_chars: int = LEAF_CHARS, window: int = 32, settled: re.Pattern = SETTLED) -> None:
+        self._leaf, self._token, self._size, self._window, self._settled = leaf, token, max(1, leaf_chars), max(1, window), settled
 
     def encode(self, text: str) -> list[int]:
         return self._tree(text, 0, len(text))
@@ -54,12 +56,12 @@ class TreeBpe:
         while True:
             a, b = max(lo, mid - w), min(hi, mid + w)
             p = q = None
-            for m in SETTLED.finditer(text, a, min(mid + 1, hi)):
+            for m in self._settled.finditer(text, a, min(mid + 1, hi)):
                 if lo < m.start() <= mid:
                     p = m.start()
             if p == mid:
                 return left + right
-            if m := SETTLED.search(text, mid, min(b + 1, hi)):
+            if m := self._settled.search(text, mid, min(b + 1, hi)):
                 q = m.start()
             if p is None and a == lo:
                 p = lo
@@ -96,24 +98,28 @@ class TreeBpe:
 
 
 @lru_cache(maxsize=4)
-def load(path: str, pattern: str, leaf_chars: int = LEAF_CHARS) -> TreeBpe:
-    """The codec of a rank file; one for each worker process."""
+def load(path: str, pattern: str, leaf_chars: int = LEAF_CHARS, settled: str | None = None) -> TreeBpe:
+    """The codec of a rank file; one for each worker process. ``settled`` matches (without width) places where a match of
+    ``pattern`` always ends; it is known for the vocabularies' own pattern alone."""
     import tiktoken
 
+    if settled is None and pattern != public_tokenizers.PATTERN:
+        raise ValueError("give the places where a match of this pattern always ends")
+
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     tokens = [b""] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
         tokens[i] = token
-    return TreeBpe(enc.encode_ordinary, tokens.__getitem__, leaf_chars)
+    return TreeBpe(enc.encode_ordinary, tokens.__getitem__, leaf_chars, settled=re.compile(settled) if settled else SETTLED)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS, keep_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS, keep_ids: bool = True, settled: str | None = None) -> DataFrame:
     """Each document with its ids (unless ``keep_ids`` is false), their digest and that of the decoded bytes.
 
     Columns: id_col, n_tokens long, ids_sha256 string (ids as little-endian unsigned 32-bit integers),
-    decoded_sha256 string, ids array<int>. Null and empty texts have no ids. Every row gives one row, repeated
+    decoded_sha256 string, ids array<int>. Null and empty texts have no ids; null ids of documents stay null; ``settled``: see load. Every row gives one row, repeated
     ones too; other columns are ignored. One pass, no shuffle; memory holds one text and its ids.
     """
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
@@ -125,7 +131,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = load(path, pattern, leaf_chars)
+        codec = load(path, pattern, leaf_chars, settled)
         for batch in batches:
             for part in text_slices(batch, limit=1 << 20):
                 n, first, second, kept = [], [], [], []

@@ -68,6 +68,27 @@ def test_bpe_tree_equals_library(ranks):
         assert tree.encode(s) == whole.encode_ordinary(s)
 
 
+def test_bpe_of_another_pattern(ranks):
+    import base64
+
+    import tiktoken
+
+    with pytest.raises(ValueError):
+        bpe.load(ranks, r"[a-z]+[!?]*\n*|[^a-z]")
+    with open(ranks, "rb") as f:
+        r = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    pattern = r"[a-z]+[!?]*\n*|[^a-z]"
+    whole = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=r, special_tokens={})
+    tree = bpe.load(ranks, pattern, 8, r"(?<=\n)(?=[^\n])|(?<=[a-z])(?= )")
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.text("ab!?\n Z", max_size=90))
+    def check(s):
+        assert tree.encode(s) == whole.encode_ordinary(s)
+
+    check()
+
+
 def test_bpe_documents(spark, edges, empty, ranks):
     whole = tiktoken_of(ranks)
     got = bpe.encode_documents(edges, ranks, public_tokenizers.PATTERN).collect()
@@ -711,6 +732,26 @@ def test_pipeline(spark, small):
         assert nothing.count() == 0
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, further columns."""
+    import corpus_pipeline
+
+    clean = [(i, f"the cat {i} sat on the mat and the dog {i} ran over the hill to the sea", "en", "s") for i in range(30, 60)]
+    rows = [(i, t, la, s) for i, t, la, s in EDGES] + [(None, "the rain in the town was cold and the wind was high", None, None), (None, None, None, None)] + clean + clean[:3]
+    docs = table(spark, rows).select("doc_id", "text", "lang", "source", "n_chars", "key", "comp", "norm", "digest")
+    texts = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    kept = corpus_pipeline.language(spark, docs, "")
+    assert not any(t is None or not t.strip() for _, t in texts(kept)) and set(clean) <= {(r["doc_id"], r["text"], r["lang"], r["source"]) for r in kept.collect()}
+    exact = texts(corpus_pipeline.exact(spark, docs, ""))
+    assert exact[(6, "One  two\tthree")] == 1 and exact[clean[0][:2]] == 1 and sum(exact.values()) == len({re.sub("[\\x20\\x09-\\x0D]+", " ", t or "") for _, t, *_ in rows})
+    near = texts(corpus_pipeline.near(spark, docs, ""))
+    assert near[(5, "one two three")] + near[(6, "One  two\tthree")] == 1 and near[clean[0][:2]] == 1
+    mixed = corpus_pipeline.mix(spark, docs, "")
+    assert mixed.columns == corpus_pipeline.COLUMNS and all(r["text"] for r in mixed.collect())
+    done = corpus_pipeline.tokens(spark, docs, "").collect()
+    assert len(done) == len(rows) and {r["n_tokens"] for r in done if r["doc_id"] in (1, 2)} == {0}
+
+
 def test_pipeline_keeps_one_row_of_each_group(spark):
     import corpus_pipeline
 
