@@ -72,7 +72,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
