@@ -36,14 +36,18 @@ def desc(c: str | Column) -> Column:
     return _col(c).desc_nulls_first()
 
 
+def geo_mean(c: str | Column) -> Column:
+    """Geometric mean of the positive values, combined in the tasks; null if there is none."""
+    return F.exp(F.avg(F.when(_col(c) > 0, F.ln(_col(c)))))
+
+
 def register_functions(spark: SparkSession) -> None:
-    """A session hook: ``net_price(price, discount)`` (scalar) and ``geo_mean(x)`` (aggregate) for SQL text."""
-    def net_price(price: pd.Series, discount: pd.Series) -> pd.Series:
-        return price * (1 - discount)
+    """A session hook: ``net_price(price, discount)`` (scalar, an expression that the optimizer inlines) and
+    ``geo_mean(x)`` (a Python aggregate, which takes a group to one place; ``geo_mean`` above does not) for SQL text."""
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION net_price(price DOUBLE, discount DOUBLE) RETURNS DOUBLE RETURN price * (1 - discount)")
 
-    def geo_mean(x: pd.Series) -> float:
+    def grouped(x: pd.Series) -> float:
         x = x[x > 0]
         return float(np.exp(np.log(x).mean())) if len(x) else float("nan")
 
-    spark.udf.register("net_price", F.pandas_udf(net_price, DoubleType()))
-    spark.udf.register("geo_mean", F.pandas_udf(geo_mean, DoubleType()))
+    spark.udf.register("geo_mean", F.pandas_udf(grouped, DoubleType()))

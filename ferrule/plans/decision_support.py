@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions import asc, day, desc, money, rate
@@ -36,12 +36,16 @@ def _orders(t: Catalog) -> DataFrame:
     return t.orders.withColumns({"o_orderdate": day("o_orderdate"), "o_totalprice": money("o_totalprice")})
 
 
-def _partsupp(t: Catalog, parts: DataFrame | None = None) -> DataFrame:
+def _partsupp(t: Catalog, parts: DataFrame | None = None, suppliers: DataFrame | None = None) -> DataFrame:
     """Stand-in for the missing table: one row per part and supplier seen in line items.
 
-    With ``parts``, only theirs; the part is a grouping key, so line items of others go before the shuffle.
+    With ``parts`` or ``suppliers``, only theirs; both are grouping keys, so line items of others go before the shuffle.
     """
-    lines = t.lineitem if parts is None else t.lineitem.join(parts.select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    lines = t.lineitem
+    if parts is not None:
+        lines = lines.join(parts.select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    if suppliers is not None:
+        lines = lines.join(suppliers.select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
     return lines.groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).agg(
         F.sum(F.col("l_linenumber").cast("bigint")).alias("ps_availqty"),
         F.min(money("l_extendedprice")).alias("ps_supplycost"),
@@ -77,11 +81,11 @@ def q2(spark: SparkSession, d: str) -> DataFrame:
     t = Catalog(spark, d)
     near = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region.where("r_name = 'EUROPE'"), F.col("n_regionkey") == F.col("r_regionkey"))
     wanted = t.part.where("p_size = 15")  # the subquery is correlated by part, so it needs no other parts
-    offers = _partsupp(t, wanted).join(near, F.col("ps_suppkey") == F.col("s_suppkey"))
-    cheapest = offers.groupBy(F.col("ps_partkey").alias("k")).agg(F.min("ps_supplycost").alias("least"))
+    least = F.min("ps_supplycost").over(Window.partitionBy("ps_partkey"))
+    offers = _partsupp(t, wanted, near).withColumn("least", least).where("ps_supplycost = least")
     return (
-        offers.join(wanted, F.col("ps_partkey") == F.col("p_partkey"))
-        .join(cheapest, (F.col("ps_partkey") == F.col("k")) & (F.col("ps_supplycost") == F.col("least")))
+        offers.join(wanted.select("p_partkey"), F.col("ps_partkey") == F.col("p_partkey"))
+        .join(near, F.col("ps_suppkey") == F.col("s_suppkey"))
         .select(money("s_acctbal").alias("s_acctbal"), "s_name", "n_name", "p_partkey")
         .orderBy(desc("s_acctbal"), asc("n_name"), asc("s_name"), asc("p_partkey"))
     )
@@ -190,17 +194,18 @@ def q10(spark: SparkSession, d: str) -> DataFrame:
 
 def q11(spark: SparkSession, d: str) -> DataFrame:
     t = Catalog(spark, d)
-    held = _partsupp(t).join(t.supplier, F.col("ps_suppkey") == F.col("s_suppkey")).join(t.nation.where("n_name = 'NATION_7'"), F.col("s_nationkey") == F.col("n_nationkey"))
+    near = t.supplier.join(t.nation.where("n_name = 'NATION_7'"), F.col("s_nationkey") == F.col("n_nationkey"))
     worth = _total(F.col("ps_supplycost") * F.col("ps_availqty"), SUM2)
-    floor = held.agg((worth.cast("double") * 0.001).alias("floor"))  # one row
-    return held.groupBy("ps_partkey").agg(worth.alias("worth")).join(F.broadcast(floor), F.col("worth").cast("double") > F.col("floor")).select("ps_partkey", "worth").orderBy(desc("worth"))
+    held = _partsupp(t, suppliers=near).groupBy("ps_partkey").agg(worth.alias("worth"))
+    floor = held.agg((_total(F.col("worth"), SUM2).cast("double") * 0.001).alias("floor"))  # one row; it reuses the exchange of ``held``
+    return held.join(F.broadcast(floor), F.col("worth").cast("double") > F.col("floor")).select("ps_partkey", "worth").orderBy(desc("worth"))
 
 
 def q12(spark: SparkSession, d: str) -> DataFrame:
     t = Catalog(spark, d)
     urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
     return (
-        _lineitem(t).where(F.col("l_returnflag").isin("A", "R") & (F.year("l_shipdate") == 1997))
+        _lineitem(t).where(F.col("l_returnflag").isin("A", "R") & F.col("l_shipdate").between(_date("1997-01-01"), _date("1997-12-31")))
         .join(_orders(t), (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_shipdate") > F.col("o_orderdate")))
         .groupBy("l_returnflag")
         .agg(F.sum(F.when(urgent, 1).otherwise(0)).alias("high_line_count"), F.sum(F.when(urgent, 0).otherwise(1)).alias("low_line_count"))
@@ -223,17 +228,19 @@ def q14(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q15(spark: SparkSession, d: str) -> DataFrame:
-    """Runs as a script of three statements: view, query, drop."""
-    Catalog(spark, d).register(["lineitem", "supplier"])
+    """Runs as a script: views, query, drops. Its views have names of their own and are gone afterwards."""
+    t = Catalog(spark, d)
+    t.lineitem.createOrReplaceTempView("q15_lineitem")
+    t.supplier.createOrReplaceTempView("q15_supplier")
     return run_script(spark, """
         CREATE VIEW quarter_revenue (supplier_no, total_revenue) AS
           SELECT l_suppkey, CAST(SUM(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DECIMAL(38,4))
-          FROM lineitem
+          FROM q15_lineitem
           WHERE CAST(l_shipdate AS DATE) >= DATE '1996-01-01' AND CAST(l_shipdate AS DATE) < DATE '1996-01-01' + INTERVAL '3' MONTH
           GROUP BY l_suppkey;
-        SELECT s.s_suppkey, s.s_name, r.total_revenue FROM supplier s JOIN quarter_revenue r ON s.s_suppkey = r.supplier_no
+        SELECT s.s_suppkey, s.s_name, r.total_revenue FROM q15_supplier s JOIN quarter_revenue r ON s.s_suppkey = r.supplier_no
           WHERE r.total_revenue = (SELECT MAX(total_revenue) FROM quarter_revenue) ORDER BY s.s_suppkey NULLS LAST;
-        DROP VIEW quarter_revenue
+        DROP VIEW quarter_revenue; DROP VIEW q15_lineitem; DROP VIEW q15_supplier
     """, result=1)
 
 
@@ -284,15 +291,10 @@ def q19(spark: SparkSession, d: str) -> DataFrame:
 def q20(spark: SparkSession, d: str) -> DataFrame:
     t = Catalog(spark, d)
     wanted = t.part.where("p_name LIKE 'cold%'")  # "used" is correlated by part, so it needs no other parts
-    used = (
-        _lineitem(t).where(F.year("l_shipdate") == 1997)
-        .join(wanted, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
-        .groupBy(F.col("l_partkey").alias("up"), F.col("l_suppkey").alias("us")).agg((0.5 * F.sum("l_quantity").cast("double")).alias("half"))
-    )
-    stocked = (
-        _partsupp(t, wanted)
-        .join(used, (F.col("ps_partkey") == F.col("up")) & (F.col("ps_suppkey") == F.col("us")) & (F.col("ps_availqty").cast("double") > F.col("half")), "left_semi")
-    )
+    lines = _lineitem(t).join(wanted, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    sold = F.sum(F.when(F.col("l_shipdate").between(_date("1997-01-01"), _date("1997-12-31")), F.col("l_quantity")))  # null if none
+    both = lines.groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).agg(F.sum(F.col("l_linenumber").cast("bigint")).alias("ps_availqty"), (0.5 * sold.cast("double")).alias("half"))
+    stocked = both.where(F.col("ps_availqty").cast("double") > F.col("half"))
     return t.supplier.join(stocked, F.col("s_suppkey") == F.col("ps_suppkey"), "left_semi").join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_name", "n_name").orderBy(asc("s_name"))
 
 

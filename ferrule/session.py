@@ -51,18 +51,31 @@ class Hooks:
         return spark
 
 
+def join_preference(hash_first: bool) -> dict[str, str]:
+    """Settings by which joins that shuffle prefer a hash table or a merge. A hash join needs partitions that fit into
+    memory: the second setting is the size up to which adaptive execution takes a partition to fit."""
+    return {"spark.sql.join.preferSortMergeJoin": str(not hash_first).lower(), "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m" if hash_first else "0"}
+
+
 def start_session(
     app: str = "ferrule",
     master: str | None = None,
     shuffle_partitions: int | None = None,
     conf: dict[str, str] | None = None,
     hooks: Hooks | Iterable[Hook] | None = None,
+    prefer_hash_join: bool | None = None,
 ) -> SparkSession:
-    """A session with PRESETS, then ``conf``, then the hooks. ``master=None`` leaves it to spark-submit."""
+    """A session with PRESETS, then ``conf``, then the hooks. ``master=None`` leaves it to spark-submit.
+
+    ``prefer_hash_join``: of joins that shuffle both sides, whether hash joins come before merge joins where they can;
+    None leaves Spark's default, merge joins.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     settings = dict(PRESETS)
+    if prefer_hash_join is not None:
+        settings.update(join_preference(prefer_hash_join))
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for k, v in (settings | (conf or {})).items():

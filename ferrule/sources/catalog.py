@@ -44,8 +44,7 @@ class Catalog:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._open:
-            suffix = f".{self._fmt}" if self._fmt != "tbl" else ".tbl"
-            self._open[name] = read_table(self._spark, f"{self._dir}/{name}{suffix}", self._fmt, self._schemas.get(name))
+            self._open[name] = read_table(self._spark, f"{self._dir}/{name}.{self._fmt}", self._fmt, self._schemas.get(name))
         return self._open[name]
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -53,10 +52,19 @@ class Catalog:
             raise AttributeError(name)
         return self.table(name)
 
-    def register(self, names: Iterable[str]) -> None:
-        """Makes the tables temp views of their own names."""
+    def names(self) -> list[str]:
+        """The tables of the directory: its files and folders of this format, by whatever store holds them."""
+        path = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._dir)
+        found = path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        files = [f.getPath().getName() for f in found]
+        return sorted(f.removesuffix(f".{self._fmt}") for f in files if f.endswith(f".{self._fmt}") and not f.startswith((".", "_")))
+
+    def register(self, names: Iterable[str] | None = None) -> list[str]:
+        """Makes the tables, or all of the directory, temp views of their own names; gives the names."""
+        names = list(self.names() if names is None else names)
         for name in names:
             self.table(name).createOrReplaceTempView(name)
+        return names
 
     def in_memory(self, name: str, partitions: int) -> DataFrame:
         """The table dealt into ``partitions`` and held by the executors (spilling to their disks)."""

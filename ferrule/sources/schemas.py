@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string  # noqa: F401
-
 MONEY = "decimal(15,2)"
 
 TABLES: dict[str, str] = {

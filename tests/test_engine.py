@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrule.errors import classify
-from ferrule.functions import asc, desc, register_functions
+from ferrule.functions import asc, desc, geo_mean, register_functions
 from ferrule.operators import exchange, joins
 from ferrule.script import run_script, split_statements
 from ferrule.session import Hooks
@@ -65,6 +65,75 @@ def test_errors_reach_the_driver(spark):
     assert classify(e.value).kind == "object_store"
 
 
+def test_an_error_crosses_three_exchanges_as_it_is(spark):
+    df = failing(int64_list(spark, [1]), "something failed")
+    for size in (1, 2, 3):
+        df = exchange.shuffle(df.withColumn(f"p{size}", F.spark_partition_id()), size)  # keeps the exchanges apart
+    assert [x.kind for x in exchange.exchanges(df)] == ["round_robin", "round_robin", "single"]
+    with pytest.raises(Exception) as e:
+        df.collect()
+    assert classify(e.value).root == "something failed"
+
+
+def test_prefer_hash_join(spark):
+    from ferrule.session import join_preference
+
+    a, b = spark.range(10_000).withColumnRenamed("id", "x"), spark.range(100_000).withColumnRenamed("id", "y")
+    for hash_first, node in ((True, "ShuffledHashJoin"), (False, "SortMergeJoin")):
+        settings = {**join_preference(hash_first), "spark.sql.autoBroadcastJoinThreshold": "70000"}
+        old = {k: spark.conf.get(k) for k in settings}
+        try:
+            for k, v in settings.items():
+                spark.conf.set(k, v)
+            j = a.join(b, F.col("x") == F.col("y"))
+            assert j.count() == 10_000 and node in exchange.node_names(j)
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
+
+
+def test_sorted_tables_join_without_exchange(spark, tmp_path):
+    from ferrule.sources.sinks import write_sorted_table
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a, b = (write_sorted_table(spark.range(1000).select((F.col("id") * k).alias("id"), F.lit(k).alias(f"v{k}")), f"sorted{k}", str(tmp_path / f"s{k}"), ["id"], 4) for k in (2, 3))
+        joined = a.join(b, "id")
+        assert joined.count() == 333 + 1 and exchange.exchanges(joined) == []
+        assert exchange.exchanges(a.groupBy("id").count()) == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for k in (2, 3):
+            spark.sql(f"DROP TABLE IF EXISTS sorted{k}")
+
+
+def test_register_all_tables_of_a_directory(spark, small, tmp_path):
+    names = Catalog(spark, small).register()
+    assert {"region", "nation", "lineitem", "documents"} <= set(names)
+    assert spark.sql("SELECT COUNT(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey").collect()[0]["n"] == 25
+    for n in names:
+        spark.catalog.dropTempView(n)
+    for f in ("b.csv", "a.csv", "_x.csv", "c.txt"):
+        (tmp_path / f).write_text("k\n1\n")
+    assert Catalog(spark, str(tmp_path), "csv").register() == ["a", "b"] and spark.table("a").count() == 1
+
+
+def test_glob_restricts_a_listing(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for f in ("x.csv", "y.txt"):
+        (tmp_path / "d" / f).write_text("k\n1\n")
+    assert read_table(spark, str(tmp_path / "d"), "csv", glob="*.csv").count() == 1
+
+
+def test_views_of_a_query_are_gone(spark, small):
+    from ferrule.plans import decision_support
+
+    before = {v.name for v in spark.catalog.listTables()}
+    assert decision_support.q15(spark, small).count() >= 1
+    assert {v.name for v in spark.catalog.listTables()} == before
+
+
 def test_script(spark):
     text = "CREATE VIEW v (a, b) AS SELECT id, 'x;y' FROM range(3); -- a; comment\n SELECT SUM(a) AS s FROM v;; DROP VIEW v;"
     assert len(split_statements(text)) == 3
@@ -86,6 +155,8 @@ def test_double_quotes_are_identifiers(spark):
 def test_hooks_and_functions(spark):
     Hooks().on_session(register_functions).apply(spark)
     assert spark.sql("SELECT net_price(CAST(10 AS DOUBLE), CAST(0.5 AS DOUBLE)) AS p").collect()[0]["p"] == 5.0
+    assert abs(spark.sql("SELECT * FROM VALUES (1), (100), (-3) AS t(x)").agg(geo_mean("x").alias("g")).collect()[0]["g"] - 10) < 1e-9
+    assert "Python" not in exchange.plan_text(spark.sql("SELECT net_price(CAST(id AS DOUBLE), 0.5D) FROM range(2)"))
     assert abs(spark.sql("SELECT geo_mean(CAST(x AS DOUBLE)) AS g FROM VALUES (1), (100) AS t(x)").collect()[0]["g"] - 10) < 1e-9
 
 
