@@ -194,7 +194,9 @@ def with_next(docs: DataFrame, rows_per_shard: int | None = None) -> DataFrame:
     places = F.when(F.col("above").isNull(), F.array("shard")).otherwise(F.array("shard", "above"))
     dealt = marked.select(F.posexplode(places).alias("peek", "shard"), "doc_id", "h", "text")
     order = ["shard", "peek", F.col("doc_id").desc_nulls_last(), F.col("h").desc(), F.col("text").desc()]
-    return dealt.repartition(max(partitions(spark), -(-len(tops) // 4)), "shard").sortWithinPartitions(*order)
+    n = max(partitions(spark), -(-len(tops) // 4))
+    place = F.floor(F.col("shard") * n / (len(bounds) + 1)).cast("int")  # neighbouring shards, so that tasks are even
+    return dealt.repartitionById(n, place).sortWithinPartitions(*order)
 
 
 def edited(text: str, following: str) -> str:
