@@ -176,7 +176,7 @@ def sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, segments_per_doc
                         keys.append(i * segments_per_doc + k)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(segs, pa.binary()), pa.array(keys, pa.int64())], names=["lang", "seg", "key"])
 
-    segments = known.where(spread < limit).select("doc_id", "lang", "text").mapInArrow(cut, "lang string, seg binary, key long").distinct()
+    segments = known.where(spread < limit).select("doc_id", "lang", "text").mapInArrow(tidy(cut), "lang string, seg binary, key long").distinct()
     most = 2 * docs_per_lang * segments_per_doc
     first = segments.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key", "seg"))).where(F.col("place") <= most)
     return sorted((r["lang"], bytes(r["seg"]), r["key"]) for r in first.collect())
