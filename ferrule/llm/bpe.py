@@ -27,7 +27,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ferrule.llm.common import text_slices, tidy
+from ferrule.llm.common import in_batches, text_slices
 
 #: Such places of the known pattern; another pattern needs its own.
 SETTLED = re.compile(r"(?<=[A-Za-z])(?=[\x00-\x7f])(?![A-Za-z])|(?<=[0-9])(?=[\x00-\x7f])(?![0-9])|(?<=\S)(?=[ \t\n\r])")
@@ -145,5 +145,5 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 cols = [part.column(0), n, first, second] + ([kept] if keep_ids else [])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, list) else c.cast(t) for c, (_, t) in zip(cols, fields, strict=True)], schema=schema)
 
-    out = own.mapInArrow(tidy(run), ddl)
+    out = in_batches(own, run, ddl)
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out

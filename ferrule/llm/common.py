@@ -87,6 +87,23 @@ def tidy(run: Run) -> Run:
     return wrapped
 
 
+#: Bytes of a batch that Spark hands to a Python worker, about; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def in_batches(df: DataFrame, run: Run, ddl: str) -> DataFrame:
+    """``df.mapInArrow`` with ``run`` made tidy, in batches of about BATCH_BYTES: both sides of the pipe hold a batch, and
+    Spark's own limits are 10,000 rows and 64 MB.
+
+    Spark reads the limit when the job runs, so it is set in the session and stays there; one that is lower is kept.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(tidy(run), ddl)
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text each; a longer text is a slice of its own."""
     n = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import SPACE, text_buffer, text_slices, tidy
+from ferrule.llm.common import SPACE, in_batches, text_buffer, text_slices
 
 SEGMENT, HIDDEN, STEPS, BATCH, RATE, SEED = 64, 8, 420, 192, 0.02, 11
 DOCS_PER_LANG, SEGMENTS_PER_DOC = 400, 4
@@ -176,7 +176,7 @@ def sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, segments_per_doc
                         keys.append(i * segments_per_doc + k)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(segs, pa.binary()), pa.array(keys, pa.int64())], names=["lang", "seg", "key"])
 
-    segments = known.where(spread < limit).select("doc_id", "lang", "text").mapInArrow(tidy(cut), "lang string, seg binary, key long").distinct()
+    segments = in_batches(known.where(spread < limit).select("doc_id", "lang", "text"), cut, "lang string, seg binary, key long").distinct()
     most = 2 * docs_per_lang * segments_per_doc
     first = segments.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key", "seg"))).where(F.col("place") <= most)
     return sorted((r["lang"], bytes(r["seg"]), r["key"]) for r in first.collect())
@@ -219,7 +219,7 @@ def predict(docs: DataFrame, net: ByteGru | None) -> DataFrame:
                     score = np.where(letters, np.clip(prob[np.arange(n), top], 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(best, pa.string()), pa.array(score)], schema=schema)
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
+    return in_batches(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

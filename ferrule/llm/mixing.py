@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import partitions, stored, tidy
+from ferrule.llm.common import in_batches, partitions, stored
 
 WEIGHTS, SCALE, REPEAT = (5.0, 2.0, 1.0), 1.5, 2.0
 BLOCK_WORDS, SHARD_SLOTS, SEED = 64, 4096, 20240607
@@ -234,7 +234,7 @@ class Mix:
 
         # the planner's size of this table is that of the range: joins with it carry a hint, lest it be broadcast
         n = max(1, min(partitions(self.spark), shards))
-        return self.spark.range(0, shards, 1, n).mapInArrow(tidy(run), "shard long, slot long, source_index int, block long, epoch int")
+        return in_batches(self.spark.range(0, shards, 1, n), run, "shard long, slot long, source_index int, block long, epoch int")
 
     def drawn(self) -> DataFrame:
         """Pieces with the slots that read them: blocks joined by index."""

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import LOWER, discard, hash_spans, mix, partitions, shingles, stored, text_buffer, text_slices, tidy, word_spans
+from ferrule.llm.common import LOWER, discard, hash_spans, in_batches, mix, partitions, shingles, stored, text_buffer, text_slices, word_spans
 
 SHINGLE, PERCENT = 5, 75
 DIGITS, BITS, CHUNKS, WIDTH, ERRORS = 64, 16, 16, 4, 1
@@ -118,7 +118,7 @@ def sign(docs: DataFrame) -> DataFrame:
                     lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(m[some].ravel())))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(digests, pa.binary()), *lists], schema=schema)
 
-    return docs.mapInArrow(tidy(run), "doc_id long, h long, n_shingles long, digest binary, sig array<long>, keys array<long>")
+    return in_batches(docs, run, "doc_id long, h long, n_shingles long, digest binary, sig array<long>, keys array<long>")
 
 
 def sets_by_class(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def sets_by_class(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 values, off = sets_of(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([values[a:b].tobytes() for a, b in zip(off, off[1:], strict=False)], pa.binary())], names=["id", "set"])
 
-    sets = stored(joined.mapInArrow(tidy(run), "id long, set binary"), "sets")
+    sets = stored(in_batches(joined, run, "id long, set binary"), "sets")
     if sets.count() == n:
         return sets
     once = stored(sets.groupBy("id").agg(F.first("set").alias("set")), "sets")  # rows repeated as they are
@@ -171,7 +171,7 @@ def confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     dealt = joined.repartition(partitions(sets.sparkSession), "centre", "place").sortWithinPartitions("centre", "place", "kind")
-    links = stored(dealt.mapInArrow(tidy(meet), "a long, b long"), "links")
+    links = stored(in_batches(dealt, meet, "a long, b long"), "links")
     discard(pairs)
     return links
 
@@ -218,7 +218,7 @@ def prefix_pairs(sets: DataFrame, ids: DataFrame) -> DataFrame:
                 who = np.repeat(batch.column(0)[i : i + 64].to_numpy(), [len(v) for v in part])
                 yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate(part))], schema=schema)
 
-    each = sets.join(ids.select(F.col("id").alias("who")), F.col("id") == F.col("who"), "left_semi").mapInArrow(tidy(run), "id long, s long")
+    each = in_batches(sets.join(ids.select(F.col("id").alias("who")), F.col("id") == F.col("who"), "left_semi"), run, "id long, s long")
     each = stored(each, "shingles")
     several = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")  # the others meet nothing, and come first
     met = each.join(several.withColumnRenamed("s", "t").hint("merge"), F.col("s") == F.col("t")).select("id", "s", "df")
