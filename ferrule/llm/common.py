@@ -98,8 +98,7 @@ def in_batches(df: DataFrame, run: Run, ddl: str) -> DataFrame:
     Spark reads the limit when the job runs, so it is set in the session and stays there; one that is lower is kept.
     """
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
-    if not 0 < now <= BATCH_BYTES:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
     return df.mapInArrow(tidy(run), ddl)
 

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ferrule.llm import bpe, exact_dedup, fingerprint, html_extract, lang_id, line_dedup, mixing, near_dup, quality, queries, token_file
+from ferrule.llm import bpe, common, exact_dedup, fingerprint, html_extract, lang_id, line_dedup, mixing, near_dup, quality, queries, token_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, norm string, digest string, key string, comp string"
 LONG = "word " * 30_000
@@ -791,3 +791,37 @@ def test_pipeline_is_the_whole_of_its_stages(spark, small, ranks):
         assert r["n_tokens"] == len(r["ids"])
         words[source[r["doc_id"]]] += len(whole.decode(r["ids"]).split())
     assert set(sizes) == set(source.values()) and all(abs(words[s] - targets[s]) <= 64 for s in sizes)
+
+
+BYTES, RECORDS = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def test_batches_are_bounded(spark):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    docs = spark.range(0, 1000, 1, 1).select("id", F.repeat(F.lit("word "), 4000).alias("text"))  # 20 MB
+    before = spark.conf.get(BYTES)
+    try:
+        for given_, limit in (("64m", common.BATCH_BYTES), ("1m", 1 << 20)):
+            spark.conf.set(BYTES, given_)
+            got = common.in_batches(docs, run, "n long, size long").collect()
+            assert sum(r["n"] for r in got) == 1000 and max(r["size"] for r in got) < 1.1 * limit
+        spark.conf.set(BYTES, "64m")
+        (one,) = common.in_batches(docs.limit(1).withColumn("text", F.repeat("text", 500)), run, "n long, size long").collect()
+        assert one["n"] == 1 and one["size"] > 9_000_000  # a longer row comes whole
+    finally:
+        spark.conf.set(BYTES, before)
+
+
+@pytest.mark.parametrize("number", [1, 2, 5, 6, 7, 8, 10])
+def test_results_do_not_depend_on_batches(spark, small, number):
+    query = next(q for name, q in queries.QUERIES.items() if name.startswith(f"op{number}_"))
+    rows = lambda: sorted(map(repr, query(spark, small).collect()))
+    whole, before = rows(), spark.conf.get(RECORDS)
+    try:
+        spark.conf.set(RECORDS, "3")
+        assert rows() == whole
+    finally:
+        spark.conf.set(RECORDS, before)
