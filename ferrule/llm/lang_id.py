@@ -129,8 +129,54 @@ class ByteGru:
                 self.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return loss
 
-    def documents(self, raw: np.ndarray, off: np.ndarray, rows: int = 2048) -> np.ndarray:
-        """(documents, languages): mean distribution over the bytes that are not white space."""
+    def sums(self, seg: np.ndarray, solid: np.ndarray) -> np.ndarray:
+        """(n, languages): distributions of segments (n, T) summed over the positions where ``solid`` is true.
+
+        All is done element by element, segments along the last axis: rounding in a matrix product or a reduction may
+        depend on a row's place and the number of rows, and a segment must get the same bits in any company.
+        """
+        p, h = self.p, self.hidden
+        (n, t), langs = seg.shape, len(self.langs)
+        places, solid = np.ascontiguousarray(seg.T, np.intp), np.ascontiguousarray(solid.T, np.float32)
+        outer = np.empty((t, langs, n), np.float32)
+        outer[:] = p["b"][:, None]
+        tables = [np.ascontiguousarray(v.T) for v in p["x"]]
+        u, c, o = p["u"][..., None], p["c"][..., None], p["o"].reshape(2, h, langs, 1)
+        x, s, rs = np.empty((2, 3 * h, n), np.float32), np.zeros((2, h, n), np.float32), np.empty((2, h, n), np.float32)
+        g, z, r, new = x[:, : 2 * h], x[:, :h], x[:, h : 2 * h], x[:, 2 * h :]
+        wide, narrow, vote = np.empty((2, 2 * h, n), np.float32), np.empty((2, h, n), np.float32), np.empty((langs, n), np.float32)
+        for i in range(t):  # both networks, the backward one at the mirrored place
+            for d, j in enumerate((i, t - 1 - i)):
+                np.take(tables[d], places[j], axis=1, out=x[d], mode="clip")
+            for k in range(h):
+                g += np.multiply(u[:, k], s[:, k, None], out=wide)
+            _sigmoid(g)
+            np.multiply(r, s, out=rs)
+            for k in range(h):
+                new += np.multiply(c[:, k], rs[:, k, None], out=narrow)
+            np.tanh(new, out=new)
+            new -= s
+            new *= z
+            s += new
+            for d, j in enumerate((i, t - 1 - i)):
+                for k in range(h):
+                    outer[j] += np.multiply(o[d, k], s[d, k], out=vote)
+        out = np.zeros((langs, n), np.float32)
+        for v, own in zip(outer, solid, strict=True):
+            top, total = v[0].copy(), np.zeros(n, np.float32)
+            for row in v:
+                np.maximum(top, row, out=top)
+            v -= top
+            np.exp(v, out=v)
+            for row in v:
+                total += row
+            v *= np.divide(own, total, out=total)
+            out += v
+        return out.T
+
+    def documents(self, raw: np.ndarray, off: np.ndarray, rows: int = 4096) -> np.ndarray:
+        """(documents, languages): mean distribution over the bytes that are not white space. The same for a document
+        whatever others are beside it."""
         docs = len(off) - 1
         size = np.diff(off)
         segs = -(-size // SEGMENT)
@@ -143,11 +189,9 @@ class ByteGru:
             at = first[a : a + rows, None] + np.arange(SEGMENT)
             inside = at < end[a : a + rows, None]
             seg = np.where(inside, padded[np.minimum(at, len(raw))], 0)
-            prob = self.positions(self.forward(seg, False)[0])
-            solid = (inside & ~SPACE[seg]).T.astype(np.float32)
-            sums = np.einsum("tnk,tn->nk", prob, solid)
-            np.add.at(out, doc[a : a + rows], sums)
-            np.add.at(weight, doc[a : a + rows], solid.sum(0))
+            solid = inside & ~SPACE[seg]
+            np.add.at(out, doc[a : a + rows], self.sums(seg, solid))
+            np.add.at(weight, doc[a : a + rows], solid.sum(1))
         return out / np.maximum(weight, 1)[:, None]
 
 

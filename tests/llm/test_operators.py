@@ -825,3 +825,35 @@ def test_results_do_not_depend_on_batches(spark, small, number):
         assert rows() == whole
     finally:
         spark.conf.set(RECORDS, before)
+
+
+ALONE = """
+import numpy as np, pyarrow as pa
+from ferrule.llm import common, lang_id
+rng = np.random.default_rng(5)
+texts = pa.array(["", None, "a", "x" * 64, "é 中 🙂 ", *("".join(map(chr, rng.integers(32, 400, n))) for n in rng.integers(1, 900, 40))])
+for langs in (1, 4, 11):
+    net = lang_id.ByteGru([str(k) for k in range(langs)])
+    whole = net.documents(*common.text_buffer(texts))
+    for step in (1, 2, 3, 7):
+        for a in range(0, len(texts), step):
+            assert (net.documents(*common.text_buffer(texts.slice(a, step))) == whole[a : a + step]).all(), (langs, step, a)
+    assert (net.documents(*common.text_buffer(texts), rows=13) == whole).all()
+    raw, off = common.text_buffer(texts.slice(3))
+    for k, got in enumerate(whole[3:]):  # by the products of the training, which round in another order
+        part = np.frombuffer(raw[off[k] : off[k + 1]].tobytes().ljust(-(-int(off[k + 1] - off[k]) // 64) * 64, b"\\0"), np.uint8).reshape(-1, 64)
+        own = net.positions(net.forward(part, False)[0])[~common.SPACE[part.T] & (np.arange(part.size).reshape(-1, 64).T < off[k + 1] - off[k])]
+        assert not len(own) or abs(own.mean(0) - got).max() < 1e-5
+"""
+
+
+@pytest.mark.parametrize("core", ["Haswell", "Nehalem", None])
+def test_a_language_is_the_same_whatever_is_beside_it(core):
+    """With the matrix kernels of several processors: some round a row by its place."""
+    import os
+    import subprocess
+    import sys
+
+    env = {**os.environ, "PYTHONPATH": os.path.dirname(os.path.dirname(lang_id.__file__)) + "/..", **({"OPENBLAS_CORETYPE": core} if core else {})}
+    got = subprocess.run([sys.executable, "-c", ALONE], env=env, capture_output=True, text=True, timeout=120)
+    assert got.returncode == 0, got.stderr
