@@ -38,7 +38,7 @@ MAGIC, BLOCK = b"WMX2", 512
 SHARD_TOKENS = 2 << 20
 ROWS_PER_TASK = 8192
 #: Ids read back at a time.
-SPAN = 1 << 18
+SPAN = 1 << 19
 END = 2
 _ONE = np.uint64(1)
 #: Words that one worker remembers (about 100 bytes each).
@@ -120,6 +120,13 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, null_ids: n
     return b"".join(out)
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of ranges in a row."""
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    at += np.arange(len(at))
+    return at
+
+
 class Shard:
     """A shard read from its bytes or a memory map of them; nothing is decoded ahead of use."""
 
@@ -181,41 +188,59 @@ class Shard:
         return at * BLOCK + int(np.flatnonzero(bits == bit)[j])
 
     def ids(self, lo: int = 0, hi: int | None = None) -> np.ndarray:
-        """The ids from place lo to before place hi, each by one rank a plane."""
+        """The ids from place lo to before place hi.
+
+        Places of one range are two ranges a plane further on, by the ranks of its ends; ranges that touch are one. The
+        way back up puts the ids where the planes' bits took them from.
+        """
         hi = self.n if hi is None else hi
         if not 0 <= lo <= hi <= self.n:
             raise IndexError((lo, hi))
-        out = np.zeros(hi - lo, np.uint32)
-        at, who = np.arange(lo, hi), None
+        starts, sizes = np.array([lo]), np.array([hi - lo])
+        down: list[tuple[np.ndarray, np.ndarray]] = []
         for k in range(self.planes):
-            if not len(at):
+            if not sizes.any():
                 break
-            index = at >> 6
-            word, shift = self._words[k][index], (at & 63).astype(np.uint64)
-            below = np.left_shift(_ONE, shift)
-            below -= _ONE
-            below &= word
-            one = self._before(k, index)
-            one += np.bitwise_count(below)
-            word >>= shift
-            bit = (word & _ONE).view(np.int64).astype(bool)
-            at -= one
-            one += self._zeros[k]
-            np.copyto(at, one, where=bit)
-            if self._ending[k]:
-                size = self._sizes[k + 1]
-                on = at < size
-                last = ~on
-                value = self._ended(k, at[last] - size)
-                if who is None:
-                    out[last] = value
-                    who = np.flatnonzero(on)
-                else:
-                    out[who[last]] = value
-                    who = who[on]
-                at = at[on]
+            one = self._read(k, starts, sizes)
+            before = self._ranks(k, starts)
+            ones = np.add.reduceat(one, np.cumsum(sizes) - sizes, dtype=np.int64)
+            starts, sizes = np.concatenate([starts - before, self._zeros[k] + before]), np.concatenate([sizes - ones, ones])
+            on = np.clip(self._sizes[k + 1] - starts, 0, sizes)  # places of codes that do not end here, always first
+            last = np.flatnonzero(sizes > on)
+            ended = self._ended(k, _spread(np.maximum(starts[last] - self._sizes[k + 1], 0), (sizes - on)[last])) if len(last) else self._symbols[:0]
+            down.append((one, ended))
+            some = np.flatnonzero(on)
+            starts, sizes = starts[some], on[some]
+            if len(some) > 1:
+                new = np.flatnonzero(np.concatenate([[True], starts[1:] != starts[:-1] + sizes[:-1]]))
+                starts, sizes = starts[new], np.add.reduceat(sizes, new)
+        out = np.zeros(0, np.uint32)
+        while down:
+            one, ended = down.pop()
+            out = np.concatenate([out, ended])
+            at = np.flatnonzero(one == 0)
+            own = np.empty(len(one), np.uint32)
+            own[at] = out[: len(at)]
+            own[np.flatnonzero(one)] = out[len(at) :]
+            out = own
         return out
 
+    def _read(self, k: int, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The bits of ranges of plane k in a row, as truth values."""
+        words = self._words[k]
+        if len(starts) == 1:
+            a, b = int(starts[0]), int(starts[0] + sizes[0])
+            return np.unpackbits(words[a >> 6 : (b + 63) >> 6].view(np.uint8), bitorder="little")[a & 63 :][: b - a].view(bool)
+        at = _spread(starts, sizes)
+        if 8 * len(at) > self._sizes[k]:
+            return np.unpackbits(words.view(np.uint8), bitorder="little")[at].view(bool)
+        return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & _ONE).astype(bool)
+
+    def _ranks(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Ones before each of some places of plane k."""
+        word = at >> 6
+        return self._before(k, word) + np.bitwise_count(self._words[k][word] & ((_ONE << (at & 63).astype(np.uint64)) - _ONE))
+
     def _ended(self, k: int, place: np.ndarray) -> np.ndarray:
         """The ids at places among those whose codes end at plane k."""
         a = self._first[k]

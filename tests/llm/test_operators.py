@@ -215,6 +215,33 @@ def test_a_shard_is_compressed_and_opened_by_document(tmp_path):
         assert s.count(c) == len(where) and all(s.select(c, k) == where[k] for k in range(0, len(where), 1 + len(where) // 9))
 
 
+def test_ranges_of_a_shard_are_read_by_the_ranks_of_their_ends():
+    """One plane step reads each bit of a range once: as many counts before words as there are ranges, not ids."""
+
+    class Counted(token_file.Shard):
+        asked = 0
+
+        def _before(self, k, word):
+            self.asked += len(word)
+            return super()._before(k, word)
+
+    rng = np.random.default_rng(11)
+    ids = np.minimum(rng.zipf(1.2, 60_000), 40_000).astype(np.uint32)
+    data = token_file.build(ids, np.array([0]), np.array([len(ids)]))
+    s = Counted(data)
+    assert (s.ids() == ids).all() and s.asked == s.planes  # a whole plane is one range
+    s = Counted(data)
+    assert (s.ids(100, 50_100) == ids[100:50_100]).all() and s.asked < 25_000
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.integers(0, 60_000), st.integers(0, 3000))
+    def check(lo, size):
+        hi = min(lo + size, len(ids))
+        assert (s.ids(lo, hi) == ids[lo:hi]).all() and (token_file.Shard(data).ids(lo, hi) == ids[lo:hi]).all()
+
+    check()
+
+
 def test_code_lengths_are_those_of_huffman():
     import heapq
 
